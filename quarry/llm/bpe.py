@@ -197,8 +197,8 @@ def _encode_words(words: DataFrame, shared, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, "chunk long, bucket int, blob binary")
 
 
-def encode(docs: DataFrame, s: Settings | None = None, digests: bool = False) -> DataFrame:
-    """doc_id and ids (array of int) of each row of docs(doc_id, text), or, with digests, doc_id, n_tokens, ids_sha256 (of the
+def encode(docs: DataFrame, s: Settings | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
+    """doc_id and ids (array of int; if ids) of each row of docs(doc_id, text), and, with digests, n_tokens, ids_sha256 (of the
     decimal ids joined by commas) and decoded_sha256 (of the bytes that the ids decode to).
 
     Special tokens are ordinary text. A null text counts as empty: no ids. Repeated rows each give a row. Other columns are
@@ -215,7 +215,7 @@ def encode(docs: DataFrame, s: Settings | None = None, digests: bool = False) ->
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
     if digests:
         fields += [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    else:
+    if ids:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     names = [f.name for f in fields]
 
@@ -233,13 +233,13 @@ def encode(docs: DataFrame, s: Settings | None = None, digests: bool = False) ->
         pieces = flat.tolist()
         spans = list(zip((ends - lengths).tolist(), ends.tolist()))
         out: list[list] = [[] for _ in names[1:]]
-        ids = left.column("ids").combine_chunks()
+        keys = left.column("ids").combine_chunks().flatten()
         if digests:
             said = [",".join(map(str, pieces[a:b])).encode() for a, b in spans]
             decoded = [b"".join([table[i] for i in pieces[a:b]]) for a, b in spans]
         for blob in left.column("blob").to_pylist():
             raw = _unpack(blob)
-            n = len(ids.flatten())
+            n = len(keys)
             counts = np.frombuffer(raw, np.uint32, n).astype(np.int64)
             codes = _unplane(raw[4 * n :], int(counts.sum()))
             stops = np.cumsum(counts)
@@ -250,12 +250,12 @@ def encode(docs: DataFrame, s: Settings | None = None, digests: bool = False) ->
                     out[0].append(int(lengths[own].sum()))
                     out[1].append(hashlib.sha256(b",".join([said[i] for i in at])).hexdigest())
                     out[2].append(hashlib.sha256(b"".join([decoded[i] for i in at])).hexdigest())
-                else:
+                if ids:
                     k = lengths[own]
                     at = np.repeat(ends[own] - np.cumsum(k), k) + np.arange(int(k.sum()))
-                    out[0].append(flat[at].astype(np.int32))
-        types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32())]
-        return pa.Table.from_arrays([ids.flatten(), *(pa.array(o, t) for o, t in zip(out, types))], names)
+                    out[-1].append(flat[at].astype(np.int32))
+        types = [pa.int64(), pa.string(), pa.string()] * digests + [pa.list_(pa.int32())] * ids
+        return pa.Table.from_arrays([keys, *(pa.array(o, t) for o, t in zip(out, types))], names)
 
     return coded.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(assemble, T.StructType(fields))
 
@@ -286,4 +286,4 @@ def decode(encoded: DataFrame, key: str = "doc_id", s: Settings | None = None) -
 
 def digests(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: see encode()."""
-    return encode(docs, s, digests=True)
+    return encode(docs, s, ids=False, digests=True)

@@ -291,18 +291,21 @@ def mixed_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         .join(runs, ["source_index", "first"])
         .select(*key, "copy", "size", "epoch", "runs")
     )
-    names = {c: common.unused(c, docs.columns) for c in ("digest", "copy", "size", "epoch", "runs", "key_id", "key_source", "cut")}
+    names = {c: common.unused(c, docs.columns) for c in ("digest", "copy", "size", "epoch", "runs", "key_id", "key_source", "key_digest", "key_copy", "cut")}
     t = docs.withColumn(names["digest"], F.xxhash64("text"))
     # repeated rows: the first of them is the first copy, and so on
-    t = t.withColumn(names["copy"], F.row_number().over(Window.partitionBy("doc_id", F.col("source").cast("string"), names["digest"]).orderBy(F.lit(0))))
+    if at.groupBy(*key).count().filter("count > 1").isEmpty():
+        t = t.withColumn(names["copy"], F.lit(1))
+    else:
+        t = t.withColumn(names["copy"], F.row_number().over(Window.partitionBy("doc_id", F.col("source").cast("string"), names["digest"]).orderBy(F.lit(0))))
     chosen = chosen.select(
-        F.col("doc_id").alias(names["key_id"]), F.col("source").alias(names["key_source"]), F.col("digest").alias("d_"), F.col("copy").alias("c_"),
+        F.col("doc_id").alias(names["key_id"]), F.col("source").alias(names["key_source"]), F.col("digest").alias(names["key_digest"]), F.col("copy").alias(names["key_copy"]),
         F.col("size").alias(names["size"]), F.col("epoch").alias(names["epoch"]), F.col("runs").alias(names["runs"]),
     )
     both = t.join(
         chosen,
         t["doc_id"].eqNullSafe(chosen[names["key_id"]]) & t["source"].cast("string").eqNullSafe(chosen[names["key_source"]])
-        & t[names["digest"]].eqNullSafe(chosen["d_"]) & (t[names["copy"]] == chosen["c_"]),
+        & (t[names["digest"]] == chosen[names["key_digest"]]) & (t[names["copy"]] == chosen[names["key_copy"]]),
     )
 
     word = re.compile(WORD)

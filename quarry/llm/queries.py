@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, media, mixing, quality, simhash, toxicity
+from . import ann, bpe, html, langid, licences, media, mixing, quality, simhash, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.documents_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -42,8 +46,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_licences": op2_licences,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
     "op5_quality": op5_quality,
@@ -51,5 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_media": op7_media,
     "op8_ann": op8_ann,
     "op9_toxicity": op9_toxicity,
+    "op10_html": op10_html,
+}
+ORACLES: dict[str, str] = {
+    "op2_licences": licences.documents_sql(),
 }
-ORACLES: dict[str, str] = {}
