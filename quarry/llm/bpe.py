@@ -127,14 +127,19 @@ def _split(docs: DataFrame, s: Settings, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal task
             words = [w.encode("utf-8", "surrogatepass") for w in state["numbers"]]
+            counts = np.array([len(c) for c in state["codes"]], np.uint32)
+            # frequent words get small numbers, which compress well
+            codes = np.concatenate(state["codes"])
+            frequent = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            number = np.empty(len(words), np.uint32)
+            number[frequent] = np.arange(len(words), dtype=np.uint32)
+            codes, words = number[codes], [words[i] for i in frequent]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
-            counts = np.array([len(c) for c in state["codes"]], np.uint32)
-            codes = place[np.concatenate(state["codes"])] if counts.sum() else np.zeros(0, np.uint32)
             ids = pa.concat_arrays(state["ids"])
-            out_bucket, blobs = [-1], [_pack([counts, _planes(codes)])]
+            out_bucket, blobs = [-1], [_pack([counts, _planes(codes), _planes(place)])]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 own = [words[i] for i in order[cuts[b] : cuts[b + 1]]]
@@ -197,6 +202,17 @@ def _encode_words(words: DataFrame, shared, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, "chunk long, bucket int, blob binary")
 
 
+def _settled_by_chunk(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows written to the shared scratch folder in buckets by chunk, and read back: the join by chunk then moves ids only,
+    not the texts' numbers. The catalogue's entry goes at once; the files stay."""
+    spark, path = rows.sparkSession, common.scratch(rows.sparkSession)
+    name = path.rpartition("/")[2].replace("-", "_")
+    rows.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def encode(docs: DataFrame, s: Settings | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
     """doc_id and ids (array of int; if ids) of each row of docs(doc_id, text), and, with digests, n_tokens, ids_sha256 (of the
     decimal ids joined by commas) and decoded_sha256 (of the bytes that the ids decode to).
@@ -209,7 +225,7 @@ def encode(docs: DataFrame, s: Settings | None = None, ids: bool = True, digests
     ranks = read_ranks(s.path)
     shared = spark.sparkContext.broadcast(ranks)  # of fixed size: the vocabulary
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = common.settle(_split(docs, s, buckets))
+    both = _settled_by_chunk(_split(docs, s, buckets), buckets)
     coded = both.filter("bucket = -1").select("chunk", "blob", "ids")
     words = _encode_words(both.filter("bucket >= 0").select("chunk", "bucket", "blob"), shared, buckets)
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
@@ -241,7 +257,8 @@ def encode(docs: DataFrame, s: Settings | None = None, ids: bool = True, digests
             raw = _unpack(blob)
             n = len(keys)
             counts = np.frombuffer(raw, np.uint32, n).astype(np.int64)
-            codes = _unplane(raw[4 * n :], int(counts.sum()))
+            size = int(counts.sum())
+            codes = _unplane(raw[4 * n + 4 * size :], len(lengths))[_unplane(raw[4 * n : 4 * n + 4 * size], size)]
             stops = np.cumsum(counts)
             for a, b in zip((stops - counts).tolist(), stops.tolist()):
                 own = codes[a:b]
