@@ -1,6 +1,6 @@
 """Language identification: a linear-chain conditional random field over the words of a text.
 
-Each word's labels are scored by hashed features of its bytes: prefixes and suffixes of 1 to 3, n-grams of 1 to 4, and the
+Each word's labels are scored by hashed features of its bytes: prefixes and suffixes of 1 to 3, n-grams of 2 and 3, and the
 word itself (the lexicon). Transition and start weights are learned with them, by maximising the likelihood of labelled
 words, on code-switched sequences: segments of documents of different languages set one after another. Forward-backward
 gives each word's label probabilities; a document gets the language with the greatest mean over its words.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDERS = (1, 2, 3, 4)
+ORDERS = (2, 3)
 AFFIXES = (1, 2, 3)
 _LETTER = regex.compile(r"\p{L}")
 
@@ -88,18 +88,22 @@ class _Words:
     def gram_sums(self, weights: np.ndarray) -> np.ndarray:
         """The sum of the weights of all n-grams of each word."""
         b, n = self.b, len(self.begin)
-        out = np.zeros((n, weights.shape[1]), np.float32)
         if not n:
-            return out
+            return np.zeros((0, weights.shape[1]), np.float32)
+        # letters of its word from a place on, itself included
+        left = np.zeros(len(b.data), np.int32)
+        size = self.end - self.begin
+        inside = np.repeat(self.end, size)
+        at = np.repeat(self.begin - np.cumsum(size) + size, size) + np.arange(len(inside))
+        left[at] = inside - at
+        padded = np.vstack([weights, np.zeros((1, weights.shape[1]), weights.dtype)])
+        total = np.zeros((len(b.data), weights.shape[1]), np.float32)
         for k in ORDERS:
-            if len(b.data) < k:
-                continue
-            got = weights[self._place(b.grams(k), 30 + k)]
-            sums = np.zeros((len(got) + 1, weights.shape[1]), np.float64)
-            np.cumsum(got, axis=0, out=sums[1:])
-            stop = np.maximum(self.end - k + 1, self.begin)  # n-grams that begin here or later leave the word
-            out += (sums[stop] - sums[self.begin]).astype(np.float32)
-        return out
+            if len(b.data) >= k:
+                place = self._place(b.grams(k), 30 + k)
+                place[left[: len(place)] < k] = len(weights)
+                total[: len(place)] += padded[place]
+        return np.add.reduceat(total, self.begin, axis=0)
 
     def gram_places(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         b = self.b
