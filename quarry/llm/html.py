@@ -42,6 +42,7 @@ NOT_MAIN = frozenset("nav header footer aside form script style noscript templat
 NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Elements that hold text or a list, not the whole main text.
 NOT_WHOLE = "p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot table ul ol dl pre blockquote address figure figcaption caption summary".split()
+DEEP = 200
 #: Words of an id or class that say that an element is no main text.
 NOT_MAIN_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|adbox|adslot|banners?|sponsor(?:s|ed)?|promos?|promotions?|cookies?|consent|gdpr|notices?|notification|"
@@ -51,7 +52,9 @@ NOT_MAIN_WORD = re.compile(
     re.I,
 )
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z!?])[^>]*\Z", re.S)
+# possessive: a tag that never ends costs one look at the rest
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""")
 _SPACE = re.compile(r"\s+")
 
@@ -93,6 +96,30 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
     return f"{tag}.{'.'.join(sorted(name.split()))}" if name.strip() else tag
 
 
+def _next_tag(html: str, at: int) -> tuple[tuple[int, int] | None, int, bool, str, str]:
+    """(range of the text before, place after the markup, whether it ends an element, tag, attributes) of the next markup; tag is
+    empty for comments and the like, and the range None if there is no more. A tag that the page's end cuts off is markup."""
+    i = at
+    while (i := html.find("<", i)) >= 0:
+        after = html[i + 1 : i + 3]
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            return (at, i), end + 3 if end >= 0 else len(html), False, "", ""
+        if after[:1] in ("!", "?"):
+            end = html.find(">", i)
+            return (at, i), end + 1 if end >= 0 else len(html), False, "", ""
+        if _NAME.match(html, i):
+            close = html.find(">", i)
+            if close < 0:
+                return (at, i), len(html), False, "", ""
+            if m := _TAG.match(html, i):
+                return (at, i), m.end(), bool(m[1]), m[2].lower(), m[3]
+            m = _NAME.match(html, i)  # a quote that never ends: up to the next bracket
+            return (at, i), close + 1, bool(m[1]), m[2].lower(), html[m.end() : close]
+        i += 1
+    return None, at, False, "", ""
+
+
 def parse(html: str) -> Page:
     """Blocks of text and elements of a page; never fails, whatever is left open or cut off."""
     page = Page()
@@ -117,17 +144,14 @@ def parse(html: str) -> Page:
 
     at, n = 0, len(html)
     while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
+        begin, at, end_tag, tag, rest = _next_tag(html, at)
+        if begin is None:
             text.append(html[at:])
             break
-        if m.start() > at:
-            text.append(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        text.append(html[begin[0] : begin[1]])
         if not tag:
             continue
-        if m[1]:
+        if end_tag:
             if tag in INLINE:
                 continue
             if tag == "br":
@@ -140,7 +164,7 @@ def parse(html: str) -> Page:
         if tag in INLINE:
             if tag in VOID:
                 continue
-            if "hidden" not in m[3] and "none" not in m[3]:
+            if "hidden" not in rest and "none" not in rest:
                 continue
         if tag == "br":
             text.append("\n")
@@ -148,7 +172,7 @@ def parse(html: str) -> Page:
         flush()
         if tag in VOID:
             continue
-        attrs = _attributes(m[3])
+        attrs = _attributes(rest)
         if tag in RAW:  # up to its end tag there is no markup
             page.elements.append(f"{stack[-1][1]}/{_step(tag, attrs)}")
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -162,10 +186,11 @@ def parse(html: str) -> Page:
                 close("td" if tag == "th" else "th", "tr table")
         elif stack[-1][0] == "p":
             stack.pop()
-        if m[3].endswith("/") and tag not in ("p", "div", "li"):
+        if rest.endswith("/") and tag not in ("p", "div", "li"):
             continue
         up = stack[-1]
-        path = f"{up[1]}/{_step(tag, attrs)}"
+        # so deep, places are no longer told apart
+        path = f"{up[1]}/{_step(tag, attrs)}" if len(stack) < DEEP else up[1]
         page.elements.append(path)
         stack.append((tag, path, up[2] or _excluded(tag, attrs)))
     flush()
