@@ -58,7 +58,7 @@ def _grams(texts: list[str | None], flags: np.ndarray | None = None) -> tuple[np
     for n in ORDERS:
         h = b.grams(n) * np.uint64(common.BASE)
         at = np.arange(len(h)) if flags is None else np.flatnonzero(flags[(h >> np.uint64(64 - FLAG_BITS)).astype(np.int32)])
-        d = np.searchsorted(b.end, at + 1, "right")  # the document after a space that ends another
+        d = np.searchsorted(b.end, at, "right")  # the space that ends a document begins the next
         inside = (d > 0) & (d < b.n)
         at, d = at[inside], d[inside]
         inside = at + n <= b.end[d] + 1
