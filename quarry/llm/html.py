@@ -43,6 +43,7 @@ NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search f
 #: Elements that hold text or a list, not the whole main text.
 NOT_WHOLE = "p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot table ul ol dl pre blockquote address figure figcaption caption summary".split()
 DEEP = 200
+SALTS = 32
 #: Words of an id or class that say that an element is no main text.
 NOT_MAIN_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|adbox|adslot|banners?|sponsor(?:s|ed)?|promos?|promotions?|cookies?|consent|gdpr|notices?|notification|"
@@ -248,7 +249,8 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     """host, main (path of the main element; empty: the whole page) and boilerplate (tokens of template text)."""
-    found = common.settle(tokens(pages))
+    # a text on one page only is on less than half of three pages or more: it can't be of a template
+    found = common.settle(tokens(pages).filter("kind <> 1 or pages > 1"))
     hosts = found.filter("kind = 2").select("host", F.col("pages").alias("all_pages"))
     modulus = F.expr("cast(18446744073709551616 as decimal(38,0))")
     known = found.filter("kind < 2").join(hosts, "host").withColumn("vector", F.pmod("vector", modulus))
@@ -293,7 +295,10 @@ def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
         T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()),
     ])
     known = templates(pages, s)
-    rows = _rows(pages).join(known, "host", "left")
+    # a host may have any share of the pages: its row stands in each of SALTS parts, and a page looks into one of them
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("part")
+    known = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    rows = _rows(pages).select("*", part).join(known, ["host", "part"], "left").drop("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, frozenset] = {}
