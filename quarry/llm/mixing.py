@@ -43,7 +43,7 @@ class Settings:
     weights: tuple[float, ...] = WEIGHTS
     block: int = 256
     shard: int = 4096
-    bucket_rows: int = 20_000
+    bucket_rows: int = 2000
     seed: int = 17
 
 
@@ -172,7 +172,7 @@ def placed(sized: DataFrame, p: Plan, s: Settings) -> DataFrame:
 
 
 def slots(spark, p: Plan, s: Settings) -> DataFrame:
-    """One row per slot of the mix: shard, source_index, slot (its number in the source), block, words."""
+    """One row per slot of the mix: shard, source_index, slot (its number in the source), block, words, epoch."""
     total = sum(p.slots)
     shards = -(-total // s.shard)
     share = np.array(p.slots, float) / max(1, total)
@@ -219,15 +219,15 @@ def slots(spark, p: Plan, s: Settings) -> DataFrame:
     blocks = np.maximum(1, -(-np.array(p.sizes, np.int64) // s.block))
     last = np.array(p.last, np.int64)
 
-    @F.pandas_udf("block long, words long")
+    @F.pandas_udf("block long, words long, epoch int")
     def taken(source: pd.Series, slot: pd.Series) -> pd.DataFrame:
         i, k = source.to_numpy(), slot.to_numpy()
         n = blocks[i]
         at = permute(k % n, n, _key(s.seed, i, k // n)) if len(i) else k
-        return pd.DataFrame({"block": at, "words": np.where(k == want[i] - 1, last[i], s.block)})
+        return pd.DataFrame({"block": at, "words": np.where(k == want[i] - 1, last[i], s.block), "epoch": (k // n).astype("int32")})
 
     one = runs.select("shard", "source_index", F.explode(F.sequence("a", F.col("b") - 1)).alias("slot"))
-    return one.select("*", taken("source_index", "slot").alias("t")).select("shard", "source_index", "slot", "t.block", "t.words")
+    return one.select("*", taken("source_index", "slot").alias("t")).select("shard", "source_index", "slot", "t.block", "t.words", "t.epoch")
 
 
 def spans(at: DataFrame, p: Plan, s: Settings) -> DataFrame:
@@ -238,10 +238,7 @@ def spans(at: DataFrame, p: Plan, s: Settings) -> DataFrame:
         "source_index", "first", "size",
         F.explode(F.sequence(F.expr(f"first div {s.block}"), F.expr(f"(first + size - 1) div {s.block}"))).alias("block"),
     )
-    blocks = np.maximum(1, -(-np.array(p.sizes, np.int64) // s.block))
-    spark = at.sparkSession
-    per = spark.createDataFrame([(i, int(n)) for i, n in enumerate(blocks)], "source_index int, blocks long")
-    given = slots(spark, p, s).join(per, "source_index").withColumn("epoch", F.expr("slot div blocks").cast("int")).drop("blocks")
+    given = slots(at.sparkSession, p, s)
     both = pieces.join(given, ["source_index", "block"])
     begin = F.greatest(F.col("first"), F.col("block") * size)
     end = F.least(F.col("first") + F.col("size"), F.col("block") * size + F.col("words"))
