@@ -92,14 +92,13 @@ def features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray
     value = np.log1p(count)
     norm = np.sqrt(np.bincount(doc, value * value, minlength=n))
     value = value / np.maximum(norm[doc], 1e-12)
-    # lines
-    line_end = np.flatnonzero(data == 10)
-    line_begin = np.concatenate([[0], line_end + 1])
-    line_end = np.concatenate([line_end, [len(data) - 1]])
+    # lines: a text ends one, too
+    line_end = np.union1d(np.flatnonzero(data == 10), b.end)
+    line_begin = np.concatenate([[0], line_end[:-1] + 1])
     line_doc = np.searchsorted(b.end, line_begin, "right")
-    keep = (line_doc < n) & (line_end > line_begin)
+    keep = line_end > line_begin
     line_begin, line_end, line_doc = line_begin[keep], line_end[keep], line_doc[keep]
-    _, _, _, lines, _ = _repeats(line_doc, b.hashes(line_begin, np.minimum(line_end, b.end[line_doc])), n)
+    _, _, _, lines, _ = _repeats(line_doc, b.hashes(line_begin, line_end), n)
     all_lines = np.bincount(line_doc, minlength=n)
     chars = np.array([len(t) if t else 0 for t in texts], float)
     stats = np.stack([
