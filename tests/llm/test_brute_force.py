@@ -298,6 +298,15 @@ def test_factorisation_machine_identity():
         assert got[d] == pytest.approx(m.bias + m.w @ x + pairs)
 
 
+def test_features_do_not_depend_on_neighbours():
+    texts = ["one line", "two\nlines", "", "two\ntwo\n\ntwo", "x " * 50, "\n"]
+    stats, row, index, value = quality.features(texts, 8)
+    for i, t in enumerate(texts):
+        own, _, at, v = quality.features([t], 8)
+        assert np.array_equal(own[0], stats[i]) and np.array_equal(at, index[row == i]) and np.allclose(v, value[row == i])
+    assert [round(np.expm1(x)) for x in stats[:, 15]] == [1, 2, 0, 3, 1, 0] and stats[3, 13] == pytest.approx(2 / 3)
+
+
 def test_n_grams_equal_a_loop():
     texts = ["Idiot!! you", "", None, "aé b"]
     doc, key = toxicity._grams(texts)
