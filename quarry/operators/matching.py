@@ -5,59 +5,111 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SLICE = 8 << 20
+
+
 class Automaton:
-    """All places of all patterns, overlapping ones and suffixes of others too; empty patterns are ignored."""
+    """All places of all patterns, overlapping ones and suffixes of others too; empty patterns are ignored.
+
+    Vectorised: one look-up by each pair of neighbouring bytes tells where a pattern can begin, for all patterns at once;
+    the few places left are compared byte by byte, pattern by pattern. The cost hardly depends on the number of patterns.
+    """
 
     def __init__(self, patterns: Iterable[tuple[bytes, str]]) -> None:
-        grouped: dict[bytes, list[str]] = {}
-        for pattern, name in patterns:
-            if pattern:
-                grouped.setdefault(pattern, []).append(name)
-        self._built = bool(grouped)
-        self._machine = ahocorasick.Automaton()
-        for pattern, names in grouped.items():
-            self._machine.add_word(pattern.decode("latin-1"), (len(pattern), pattern, tuple(dict.fromkeys(names))))
-        if grouped:
-            self._machine.make_automaton()
+        self.patterns = list(dict.fromkeys((p, n) for p, n in patterns if p))
+        self._pairs = np.zeros(1 << 16, np.uint16)
+        self._groups: dict[int, list[int]] = {}
+        self._single: list[int] = []
+        known: dict[int, int] = {}
+        for i, (p, _) in enumerate(self.patterns):
+            if len(p) == 1:
+                self._single.append(i)
+                continue
+            pair = p[0] << 8 | p[1]
+            group = known.setdefault(pair, len(known) + 1)
+            self._pairs[pair] = group
+            self._groups.setdefault(group, []).append(i)
+
+    def places(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string, place in data, number of the pattern) in uint8 data that holds strings up to ends one after another."""
+        at_all, which = [], []
+        for i in self._single:
+            at = np.flatnonzero(data == self.patterns[i][0][0])
+            at_all.append(at)
+            which.append(np.full(len(at), i))
+        if self._groups and len(data) > 1:
+            pairs = data[:-1].astype(np.uint16)
+            pairs <<= 8
+            pairs |= data[1:]
+            group = self._pairs[pairs]
+            at = np.flatnonzero(group)
+            group = group[at]
+            order = np.argsort(group, kind="stable")
+            at, group = at[order], group[order]
+            cuts = np.searchsorted(group, np.arange(len(self._groups) + 2))
+            for g, own in self._groups.items():
+                for i in own:
+                    p = self.patterns[i][0]
+                    here = at[cuts[g] : cuts[g + 1]]
+                    here = here[here <= len(data) - len(p)]
+                    for j in range(2, len(p)):
+                        here = here[data[here + j] == p[j]]
+                    at_all.append(here)
+                    which.append(np.full(len(here), i))
+        if not at_all:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        at, i = np.concatenate(at_all), np.concatenate(which)
+        string = np.searchsorted(ends, at, "right")
+        size = np.array([len(p) for p, _ in self.patterns])
+        inside = at + size[i] <= ends[string]
+        return string[inside], at[inside], i[inside]
 
     def search(self, data: bytes, base: int = 0) -> Iterator[tuple[int, bytes, str]]:
-        """(offset, pattern, name), by offset of the pattern's end."""
-        if self._built:
-            for end, (size, pattern, names) in self._machine.iter(data.decode("latin-1")):
-                for name in names:
-                    yield base + end - size + 1, pattern, name
+        """(offset, pattern, name) in data, by offset."""
+        _, at, which = self.places(np.frombuffer(data, np.uint8), np.array([len(data)]))
+        for k in np.lexsort((which, at)):
+            yield base + int(at[k]), *self.patterns[which[k]]
 
 
 def matches(blocks: DataFrame, patterns: list[tuple[bytes, str]], keys: tuple[str, ...] = ("image",), own: str | None = None) -> DataFrame:
     """keys, offset, extension, pattern of blocks(keys, offset, payload[, own]).
 
     own names a column with the number of bytes that belong to the block: a match that begins beyond them is the next
-    block's. The automaton is built once for each task; each block is read once, whatever the number of patterns.
+    block's. Blocks are searched in the Arrow buffers that they come in, several at a time; a null payload has no match.
     """
     schema = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys) + ", offset long, extension string, pattern binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(patterns)
+        texts, names = pa.array([p for p, _ in machine.patterns], pa.binary()), pa.array([n for _, n in machine.patterns], pa.string())
         for batch in batches:
-            rows, at, names, found = [], [], [], []
-            limits = batch.column("_own").to_pylist()
-            for i, (base, data, limit) in enumerate(zip(batch.column("offset").to_pylist(), batch.column("payload"), limits)):
-                if data.is_valid:
-                    for offset, pattern, name in machine.search(data.as_buffer().to_pybytes(), base or 0):
-                        if limit is None or offset - (base or 0) < limit:
-                            rows.append(i)
-                            at.append(offset)
-                            names.append(name)
-                            found.append(pattern)
-            take = pa.array(rows, pa.int32())
-            columns = [batch.column(k).take(take) for k in keys]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(at, pa.int64()), pa.array(names, pa.string()), pa.array(found, pa.binary())], [*keys, "offset", "extension", "pattern"])
+            payload = batch.column("payload")
+            payload = pa.array(payload.to_pylist(), pa.large_binary()) if payload.type not in (pa.binary(), pa.large_binary()) else payload.cast(pa.large_binary())
+            offsets = np.frombuffer(payload.buffers()[1], np.int64, len(payload) + 1, payload.offset * 8)
+            whole = np.frombuffer(payload.buffers()[2] or b"", np.uint8)
+            base = batch.column("offset").fill_null(0).to_numpy(zero_copy_only=False)
+            limit = batch.column("_own").fill_null(1 << 62).to_numpy(zero_copy_only=False)
+            begin = 0
+            while begin < len(payload):
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SLICE, "right")) - 1)
+                data = whole[offsets[begin] : offsets[end]]
+                string, at, which = machine.places(data, offsets[begin + 1 : end + 1] - offsets[begin])
+                row = string + begin
+                place = at - (offsets[row] - offsets[begin])
+                keep = place < limit[row]
+                row, place, which = row[keep], place[keep], which[keep]
+                take, kind = pa.array(row), pa.array(which)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(take) for k in keys), pa.array(base[row] + place, pa.int64()), names.take(kind), texts.take(kind)], [*keys, "offset", "extension", "pattern"]
+                )
+                begin = end
 
     limit = F.col(own).cast("long") if own else F.lit(None).cast("long")
     return blocks.select(*keys, F.col("offset").cast("long").alias("offset"), F.col("payload").cast("binary").alias("payload"), limit.alias("_own")).mapInArrow(run, schema)
