@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, s: Settings = Settings())
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ys = batch.column("text").to_pylist(), np.array(batch.column("y").to_pylist(), np.int64)
-            for a, b in common.slices(texts, 4 * common.SLICE_BYTES):
+            for a, b in common.slices(texts, common.SLICE_BYTES // 2):
                 doc, key = _distinct(*_grams(texts[a:b]))
                 k, at = np.unique(key, return_inverse=True)
                 one = np.bincount(at, ys[a:b][doc], minlength=len(k)).astype(np.int64)
