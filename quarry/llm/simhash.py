@@ -11,9 +11,10 @@ which again at least one must agree.
 A task emits a spanning forest of its links, not the pairs, and the forests meet in an alternating large-star and
 small-star iteration whose rounds are written to the shared scratch folder. Copies are one node: they share a fingerprint.
 
-With more words (512 bits in the pipeline) a link is a distance of at most `radius_all` over all words, found through the
-blocks of every word: by chance, not surely. With 8 words (32 blocks), five-word shingles at a Jaccard similarity of 0.8
-share a block in 9 of 10 cases, at 0.9 in 998 of 1000.
+Near copies by similarity (Settings.similar, used by the pipeline) need no fingerprints: similar_components() is an exact join of sets
+of shingles. All sets are put into one order, frequent shingles last; two sets that are similar enough share one of their first
+shingles (the prefix), so that documents meet in groups by shingle. Groups are first linked as stars, and then all members of
+a group that are not yet connected are compared. Each link is decided by the Jaccard similarity of the whole sets.
 """
 
 from __future__ import annotations
@@ -41,17 +42,21 @@ PAIRS = 1 << 18
 @dataclass(frozen=True)
 class Settings:
     """shingle: words of a shingle. words: 64-bit words of a fingerprint. radius: differing bits in the word through
-    which two fingerprints meet, at most. radius_all: in all words, at most. hot: members of a group from which it is split."""
+    which two fingerprints meet, at most. radius_all: in all words, at most. hot: members of a group from which it is split.
+    similar: if not 0, documents are linked by the Jaccard similarity of their sets of shingles, in per cent, not by fingerprints.
+    sample: documents (about) from which frequent shingles are found; they change the order of the search, never its result."""
 
     shingle: int = 3
     words: int = 1
     radius: int = 3
     radius_all: int = 3
     hot: int = 20_000
+    similar: int = 0
+    sample: int = 8_000
 
 
-#: Documents whose five-word shingles agree to 0.8 differ in 78 of 512 bits in the mean, with a deviation of 8.
-WIDE = Settings(shingle=5, words=8, radius=18, radius_all=94)
+#: Near copies of the pipeline: five-word shingles that agree to 0.8.
+WIDE = Settings(shingle=5, similar=80)
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -275,22 +280,145 @@ def components(links: DataFrame) -> DataFrame:
         now = common.settle(now.filter("u <> v").distinct())
 
 
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, node (a hash of the set) and set (sorted, distinct hashes of shingles) of each row of docs(doc_id, text)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                sets = [np.unique(np.array(shingle_hashes(common.text_bytes(t), k), np.uint64)) for t in part.column("text").to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes), pa.ListArray.from_arrays(offsets, flat)], schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _frequent(own: DataFrame, s: Settings) -> np.ndarray:
+    """Shingles of at least one in a thousand documents of a sample, the most frequent last; 100,000 at most. Any answer gives
+    the same links: it is only the order in which sets are searched."""
+    n = own.count()
+    share = max(1, n // s.sample)
+    some = own.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).dropDuplicates(["node"]).select(F.explode("set").alias("shingle"))
+    least = max(8, min(n, s.sample) // 1000)
+    top = some.groupBy("shingle").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(100_000).toPandas()
+    return top["shingle"].to_numpy(np.int64)[::-1]
+
+
+def prefixes(own: DataFrame, frequent: np.ndarray, similar: int) -> DataFrame:
+    """doc_id, node, n (size of the set) and prefix: the first n - ceil(n * similar) + 1 shingles in the order of the search."""
+    schema = T.StructType([own.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    order = np.argsort(frequent)
+    shared = own.sparkSession.sparkContext.broadcast((frequent[order], order + 1))  # at most 100,000 entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        for batch in batches:
+            sets = batch.column("set")
+            offsets = sets.offsets.to_numpy()
+            flat = sets.values.to_numpy()[offsets[0] : offsets[-1]]
+            offsets = (offsets - offsets[0]).astype(np.int64)
+            n = np.diff(offsets)
+            place = np.zeros(len(flat), np.int64)
+            if len(known) and len(flat):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                place = np.where(known[at] == flat, rank[at], 0)
+            row = np.repeat(np.arange(len(n)), n)
+            size = np.where(n > 0, n + (-similar * n) // 100 + 1, 0)
+            sort = np.lexsort((flat, place, row))  # rows stay where they are
+            keep = np.arange(len(flat)) - offsets[:-1][row] < size[row]
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            found = pa.ListArray.from_arrays(ends, pa.array(flat[sort][keep]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(n), found], schema.names)
+
+    return own.select("doc_id", "node", "set").mapInArrow(run, schema)
+
+
+def _verified(pairs: DataFrame, own: DataFrame, similar: int) -> DataFrame:
+    """(u, v): those of pairs(a, b) whose whole sets are similar enough."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = common.settle(own.select("node", "set").join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    common_ = F.size(F.array_intersect("x", "y"))
+    near = common_ * (100 + similar) >= (F.size("x") + F.size("y")) * similar
+    return common.settle(both.filter(near).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+
+
+def similar_components(own: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): v is the smallest node that u reaches over pairs of nodes(node, n, prefix) that are similar enough."""
+    t = s.similar
+    rows = nodes.select("node", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("shingle")
+    rows = common.settle(rows.join(shared, "shingle"))  # shingles of one document only lead nowhere
+    links = roots = None
+
+    def apart() -> DataFrame:
+        """Rows of groups whose members are not all connected yet."""
+        if roots is None:
+            return rows.withColumn("root", F.col("node"))
+        now = rows.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v")
+        open_ = now.groupBy("shingle").agg(F.min("root").alias("m"), F.max("root").alias("x")).filter("m <> x").select("shingle")
+        return common.settle(now.join(open_, "shingle"))
+
+    for salt in (0, 1, 2):
+        now = apart()
+        left, right = (now.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "p", "root")]) for x in "ab")
+        if salt < 2:  # stars first, so that a large family is connected by about as many pairs as it has members
+            key = F.xxhash64("node") if salt == 0 else F.xxhash64("node", "shingle")
+            lead = now.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "p", "root"), F.struct(key, "node")).alias("l"))
+            left = lead.select("shingle", *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("node", "n", "p", "root")])
+            ordered = F.col("node_a") != F.col("node_b")
+        else:
+            ordered = F.col("node_a") < F.col("node_b")
+        sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t
+        met = left.join(right, "shingle").filter(ordered & sized & (F.col("root_a") != F.col("root_b")))
+        if salt < 2:
+            pairs = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        else:
+            # beyond the shared shingles of the prefixes, sets share at most what follows the prefix that ends first
+            most = F.col("c") + F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+            counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "p_a", "p_b").agg(F.count(F.lit(1)).alias("c"))
+            pairs = counted.filter(most * (100 + t) >= (F.col("n_a") + F.col("n_b")) * t).select("a", "b")
+        found = _verified(common.settle(pairs), own, t)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+    return roots
+
+
+def similar_groups(docs: DataFrame, s: Settings = WIDE) -> DataFrame:
+    """doc_id, node (one for each distinct set of shingles) and component_id, as grouped() gives them: linked are documents
+    with a Jaccard similarity of at least s.similar per cent. Documents without words are copies of each other."""
+    own = common.settle(shingle_sets(docs, s.shingle))
+    found = prefixes(own, _frequent(own, s), s.similar)
+    nodes = common.settle(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    return _named(own, nodes, similar_components(own, nodes, s)).select("doc_id", "node", "component_id")
+
+
+def _named(own: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """own with component_id: the least id of the nodes that are linked with a row's node."""
+    known = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "least", F.coalesce("v", "node").alias("root"))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.join(known.join(least, "root").select("node", "component_id"), "node")
+
+
 def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, fp, node (one for each distinct fingerprint) and component_id: the smallest doc_id in the group.
 
-    One row per row of docs(doc_id, text). Documents without words have a zero fingerprint, linked like any other.
+    One row per row of docs(doc_id, text); without fp if s.similar is set. Documents without words have a zero fingerprint, linked like any other.
     Repeated rows and copies share a node. A null id counts only if its group has no other (then component_id is null).
     """
+    if s.similar:
+        return similar_groups(docs, s)
     own = fingerprints(docs, s)
     own = own.withColumn("node", F.col("fp")[0] if s.words == 1 else F.xxhash64("fp"))
     own = common.settle(own)
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
     nodes = common.settle(nodes)
     roots = components(edges(nodes.select("node", "fp"), s))
-    known = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "least", F.coalesce("v", "node").alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(least, "root").select("node", "component_id")
-    return own.join(named, "node").select("doc_id", "fp", "node", "component_id")
+    return _named(own, nodes, roots).select("doc_id", "fp", "node", "component_id")
 
 
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

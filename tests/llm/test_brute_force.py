@@ -181,6 +181,47 @@ def test_wide_fingerprints_catch_near_copies(spark):
     assert len(set(got.values())) <= 44
 
 
+def plain_similar(texts, k=5):
+    """Smallest place of each text's group: links are five-word sets with a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))})
+    up = list(range(len(sets)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            up[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def similar_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.grouped(rows, simhash.WIDE).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Pairs about the threshold: none of those at 0.8 is lost, none below is linked."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(250):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((20, 60, 200, 300)))]
+        copy = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.uniform(0.005, 0.035)))):
+            copy[at] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+    want = plain_similar(texts)
+    assert 300 < len(set(want)) < 450
+    assert similar_of(spark, texts) == want
+
+
 # ---- media
 
 
