@@ -222,6 +222,15 @@ def test_near_copies_equal_brute_force(spark):
     assert similar_of(spark, texts) == want
 
 
+def test_repeated_lines_do_not_link_documents(spark):
+    """A repeated line weighs by its count in a fingerprint, but once in a set."""
+    rng = random.Random(12)
+    line = " ".join(f"l{i}" for i in range(12))
+    texts = [" ".join([line] * 40 + [f"w{rng.randrange(5000)}" for _ in range(60)]) for _ in range(12)]
+    assert plain_similar(texts) == list(range(12))
+    assert similar_of(spark, texts) == list(range(12))
+
+
 # ---- media
 
 
