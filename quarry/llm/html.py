@@ -81,10 +81,12 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(text)} if "=" in text or text.strip() else {}
 
 
+def _hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
 def _excluded(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in NOT_MAIN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in NOT_MAIN_ROLES:
-        return True
-    if "display:none" in attrs.get("style", "").replace(" ", "").lower():
+    if tag in NOT_MAIN or _hidden(attrs) or attrs.get("role", "").lower() in NOT_MAIN_ROLES:
         return True
     if tag in ("html", "body", "main", "article"):
         return False
@@ -122,7 +124,8 @@ def _next_tag(html: str, at: int) -> tuple[tuple[int, int] | None, int, bool, st
 
 
 def parse(html: str) -> Page:
-    """Blocks of text and elements of a page; never fails, whatever is left open or cut off."""
+    """Blocks of text and elements of a page; never fails, whatever is left open or cut off. Inline elements are part of the
+    block around them; those that are hidden stand on the stack up to their end tag, and their own text is left out."""
     page = Page()
     stack: list[tuple[str, str, bool]] = [("", "", False)]
     text: list[str] = []
@@ -132,7 +135,8 @@ def parse(html: str) -> Page:
             t = _SPACE.sub(" ", unescape("".join(text))).strip()
             text.clear()
             if t:
-                page.blocks.append((stack[-1][1], t, stack[-1][2]))
+                up = next(s for s in reversed(stack) if s[0] not in INLINE)  # text of a hidden inline element never gets here
+                page.blocks.append((up[1], t, up[2]))
 
     def close(tag: str, scope: str = "") -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -146,14 +150,20 @@ def parse(html: str) -> Page:
     at, n = 0, len(html)
     while at < n:
         begin, at, end_tag, tag, rest = _next_tag(html, at)
+        shown = stack[-1][0] not in INLINE
         if begin is None:
-            text.append(html[at:])
+            text.append(html[at:] if shown else "")
             break
-        text.append(html[begin[0] : begin[1]])
+        if shown:
+            text.append(html[begin[0] : begin[1]])
         if not tag:
             continue
         if end_tag:
             if tag in INLINE:
+                if stack[-1][0] == tag:
+                    stack.pop()
+                else:
+                    close(tag)
                 continue
             if tag == "br":
                 text.append(" ")
@@ -165,8 +175,10 @@ def parse(html: str) -> Page:
         if tag in INLINE:
             if tag in VOID:
                 continue
-            if "hidden" not in rest and "none" not in rest:
-                continue
+            # within a hidden element, one of its kind must be told from it at the end tag
+            if not rest.endswith("/") and (any(s[0] == tag for s in stack) or _hidden(_attributes(rest))):
+                stack.append((tag, stack[-1][1], True))
+            continue
         if tag == "br":
             text.append("\n")
             continue

@@ -93,6 +93,16 @@ def test_html_edges(spark):
     assert len(html.extract(d).collect()) == 7 and html.extract(d.limit(0)).collect() == []
 
 
+def test_hidden_inline_elements_end_with_their_tag():
+    def shown(body):
+        return " ".join(t for _, t, out in html.parse(f"<html><body><article>{body}</article></body></html>").blocks if not out)
+
+    assert shown('<p>A <i aria-hidden="true"></i> B</p><p>C</p>') == "A B C"
+    assert shown('<p>A<span hidden>x <span>y</span> z</span>B <b>c</b></p><p>D</p>') == "AB c D"
+    assert shown('<p>A <span style="display: none">x<div>y</div>z</span> B<p>C') == "A B C"
+    assert shown('<p>A <a style="text-decoration:none">b</a>c <span class="visually-hidden">d</span>e</p><p>F <i hidden>x</p><p>G</p>') == "A bc de F G"
+
+
 def test_bpe_decode_edges(spark):
     d = spark.createDataFrame([(1, [50255]), (2, []), (3, None), (4, [0, 99_999])], "doc_id long, ids array<int>")
     got = {r.doc_id: r.bytes for r in bpe.decode(d).collect()}
