@@ -1,5 +1,6 @@
 """Each operator against a plain computation of the same, on the smallest tables."""
 
+import dataclasses
 import hashlib
 import itertools
 import random
@@ -231,6 +232,22 @@ def test_repeated_lines_do_not_link_documents(spark):
     assert similar_of(spark, texts) == list(range(12))
 
 
+def test_small_hot_groups_lose_no_near_copies(spark):
+    """Groups of any size are searched whole: hot = 1 split every group before."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.sample(range(300), 5):
+                copy[at] = f"w{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.grouped(rows, dataclasses.replace(simhash.WIDE, hot=1)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_similar(texts)
+
+
 # ---- media
 
 
