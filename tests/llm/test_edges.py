@@ -83,6 +83,12 @@ def test_ann_edges(spark):
     assert ann.neighbours(d.limit(0)).collect() == []
 
 
+def test_ann_probes_until_there_are_enough_candidates(spark):
+    rows = [(i, [float((i * 7 + j * 3) % 11 - 5) + i / 100 for j in range(4)]) for i in range(25)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).groupBy("query_id").count().collect()
+    assert len(got) == 25 and {r["count"] for r in got} == {20}
+
+
 def test_html_edges(spark):
     page = '<html><body><nav>Menu</nav><article><h1>A&amp;B</h1><p>one <b>two</b>\n three<p>four</article><div class="comments"><p>nice</p></div></body>'
     rows = [(1, "http://a.org/1", page), (2, "http://a.org/2", None), (3, None, ""), (4, "nonsense", "plain text"), (1, "http://a.org/1", page), (5, "http://b.org", "<p" + "x" * 100_000), (None, "http://c.org", "<<<>>><article>ok")]
