@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,23 +85,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse; kept per worker up to 2**22 entries."""
-    if len(_powers[0]) < n:
+    """The first n powers of BASE and of its inverse; those for a slice are kept per worker."""
+    if n > len(_powers[0]):
         tables = []
         for b in (BASE, BASE_INVERSE):
-            p = np.full(n, b, np.uint64)
+            p = np.full(max(n, 2 * SLICE_BYTES), b, np.uint64)
             p[0] = 1
             tables.append(np.cumprod(p, dtype=np.uint64))
-        if n > 1 << 22:
+        if n > 2 * SLICE_BYTES:
             return tables[0], tables[1]
         _powers[:] = tables
     return _powers[0][:n], _powers[1][:n]
 
 
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 class Bytes:
     """Several byte strings in one array, each followed by a space, with hashes of any substring in O(1).
 
@@ -137,5 +139,14 @@ class Bytes:
         return (self._sums[n:] - self._sums[:-n]) * self._inverse[: len(self.data) - n + 1]
 
 
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system: the worker process stays, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""

@@ -11,10 +11,12 @@ which again at least one must agree.
 A task emits a spanning forest of its links, not the pairs, and the forests meet in an alternating large-star and
 small-star iteration whose rounds are written to the shared scratch folder. Copies are one node: they share a fingerprint.
 
-Near copies by similarity (Settings.similar, used by the pipeline) need no fingerprints: similar_components() is an exact join of sets
-of shingles. All sets are put into one order, frequent shingles last; two sets that are similar enough share one of their first
-shingles (the prefix), so that documents meet in groups by shingle. Groups are first linked as stars, and then all members of
-a group that are not yet connected are compared. Each link is decided by the Jaccard similarity of the whole sets.
+Near copies by similarity (Settings.similar, used by the pipeline) are documents whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. At 0.8 about one bit in seven of a fingerprint differs, so that the index alone finds only the closest
+copies. Its links come first; further candidates share one of BANDS keys of four least hashes each (at 0.8 two sets miss each other
+in all of them with a chance of 3 in 100,000). Each link is decided on the whole sets. Members of a key's group are first compared
+with one of them; what is not connected by then meets in cells of bounded size, where all pairs of different components are
+compared and only links leave the task.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +46,7 @@ class Settings:
     """shingle: words of a shingle. words: 64-bit words of a fingerprint. radius: differing bits in the word through
     which two fingerprints meet, at most. radius_all: in all words, at most. hot: members of a group from which it is split.
     similar: if not 0, documents are linked by the Jaccard similarity of their sets of shingles, in per cent, not by fingerprints.
-    sample: documents (about) from which frequent shingles are found; they change the order of the search, never its result."""
+    tile, tile_shingles: rows, and shingles, of one side of a cell, about."""
 
     shingle: int = 3
     words: int = 1
@@ -52,11 +54,17 @@ class Settings:
     radius_all: int = 3
     hot: int = 20_000
     similar: int = 0
-    sample: int = 8_000
+    tile: int = 1024
+    tile_shingles: int = 1 << 20
 
 
 #: Near copies of the pipeline: five-word shingles that agree to 0.8.
 WIDE = Settings(shingle=5, similar=80)
+#: Keys of a set of shingles, and least hashes in each.
+BANDS, BAND = 20, 4
+#: Of the BANDS * BAND least hashes, two sets of similarity 0.8 have 64 in common on average; fewer than these with a chance below 1 in 10 million.
+AGREE = 44
+_FACTORS = common.mix64(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(common.BASE)) | np.uint64(1)
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -275,128 +283,225 @@ def components(links: DataFrame) -> DataFrame:
         now = common.settle(now.filter("u <> v").distinct())
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, node (a hash of the set) and set (sorted, distinct hashes of shingles) of each row of docs(doc_id, text)."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
+def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): the sorted distinct 64-bit hashes of each text's runs of k words (A-Z lower-cased; of all its words, if fewer),
+    one text after another, and where each text's end."""
+    b = common.Bytes([common.text_bytes(t).lower() for t in texts])
+    b.words()
+    word, doc = common.mix64(b.hashes(b.word_begin, b.word_end)), b.word_doc
+    n = len(word)
+    many = np.bincount(doc, minlength=b.n)
+    hashes = common.mix64(word)
+    for j in range(1, min(k, n)):
+        near = np.flatnonzero(doc[j:] == doc[: n - j])
+        hashes[near] = common.mix64(hashes[near] * np.uint64(common.BASE) + word[near + j])
+    first = np.ones(n, bool)
+    first[1:] = doc[1:] != doc[:-1]
+    whole = np.zeros(n, bool)
+    if n >= k:
+        whole[: n - k + 1] = doc[k - 1 :] == doc[: n - k + 1]
+    keep = whole | (first & (many[doc] < k))
+    hashes, doc = hashes[keep], doc[keep]
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.cumsum(np.bincount(doc[new], minlength=b.n))
+
+
+def least_hashes(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(sets, BANDS * BAND) uint32: the least of each set's hashes under each factor; zeros for an empty set."""
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    some = np.flatnonzero(ends > begins)
+    out = np.zeros((len(ends), BANDS * BAND), np.uint32)
+    if len(some):
+        for i, factor in enumerate(_FACTORS):
+            out[some, i] = np.minimum.reduceat(hashes * factor, begins[some]) >> np.uint64(32)
+    return out
+
+
+def sketches(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, row, node (a hash of the set), n (its size), fp (SimHash of the set) and keys (one of each band) of docs(doc_id, row, text)."""
+    kinds = {"doc_id": docs.schema["doc_id"].dataType, "row": T.LongType(), "node": T.LongType(), "n": T.LongType(), "fp": T.ArrayType(T.LongType()), "keys": T.ArrayType(T.LongType())}
+    schema = T.StructType([T.StructField(c, t) for c, t in kinds.items()])
+    k = s.shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                sets = [np.unique(np.array(shingle_hashes(common.text_bytes(t), k), np.uint64)) for t in part.column("text").to_pylist()]
-                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-                offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-                flat = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes), pa.ListArray.from_arrays(offsets, flat)], schema.names)
+            texts = batch.column("text").to_pylist()
+            for a, b in common.slices(texts):
+                hashes, ends = shingle_sets(texts[a:b], k)
+                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                some = np.flatnonzero(ends > begins)
+                n = ends - begins
+                node, fp = np.zeros(b - a, np.uint64), np.zeros((b - a, 8), np.uint8)
+                if len(some):
+                    at = begins[some]
+                    node[some] = np.add.reduceat(common.mix64(hashes ^ np.uint64(common.BASE)), at)
+                    for i in range(8):
+                        bits = np.unpackbits((hashes >> np.uint64(8 * i)).astype(np.uint8)[:, None], axis=1, bitorder="little")
+                        over = 2 * np.add.reduceat(bits, at, axis=0, dtype=np.int32) > n[some][:, None]
+                        fp[some, i] = np.packbits(over, axis=1, bitorder="little")[:, 0]
+                least = least_hashes(hashes, ends).astype(np.uint64).reshape(b - a, BANDS, BAND)
+                keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (b - a, BANDS))
+                for i in range(BAND):
+                    keys = common.mix64(keys * np.uint64(common.BASE) + least[:, :, i])
+                node = common.mix64(node + n.astype(np.uint64)).view(np.int64)
+                arrays = [batch.column("doc_id").slice(a, b - a), batch.column("row").slice(a, b - a), pa.array(node), pa.array(n.astype(np.int64))]
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32)), pa.array(fp.view(np.int64).ravel())))
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))))
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
+        common.release()
+
+    return docs.select("doc_id", "row", "text").mapInArrow(run, schema)
+
+
+def _sets(docs: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
+    """node and set (sorted hashes) of asked(node, row), read from the texts of docs(row, text) anew: most sets are never asked for."""
+    k = s.shingle
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def _frequent(own: DataFrame, s: Settings) -> np.ndarray:
-    """Shingles of at least one in a thousand documents of a sample, the most frequent last; 100,000 at most. Any answer gives
-    the same links: it is only the order in which sets are searched."""
-    n = own.count()
-    share = max(1, n // s.sample)
-    some = own.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).dropDuplicates(["node"]).select(F.explode("set").alias("shingle"))
-    least = max(8, min(n, s.sample) // 1000)
-    top = some.groupBy("shingle").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(100_000).toPandas()
-    return top["shingle"].to_numpy(np.int64)[::-1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in common.slices(texts):
+                hashes, ends = shingle_sets(texts[a:b], k)
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], ["node", "set"])
+        common.release()
 
+    texts = docs.select("row", "text").join(asked.select("row", "node").hint("merge"), "row").select("node", "text")
+    return common.settle(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]))
 
-def prefixes(own: DataFrame, frequent: np.ndarray, similar: int) -> DataFrame:
-    """doc_id, node, n (size of the set) and prefix: the first n - ceil(n * similar) + 1 shingles in the order of the search."""
-    schema = T.StructType([own.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    order = np.argsort(frequent)
-    shared = own.sparkSession.sparkContext.broadcast((frequent[order], order + 1))  # at most 100,000 entries
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
-        for batch in batches:
-            sets = batch.column("set")
-            offsets = sets.offsets.to_numpy()
-            flat = sets.values.to_numpy()[offsets[0] : offsets[-1]]
-            offsets = (offsets - offsets[0]).astype(np.int64)
-            n = np.diff(offsets)
-            place = np.zeros(len(flat), np.int64)
-            if len(known) and len(flat):
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                place = np.where(known[at] == flat, rank[at], 0)
-            row = np.repeat(np.arange(len(n)), n)
-            size = np.where(n > 0, n + (-similar * n) // 100 + 1, 0)
-            sort = np.lexsort((flat, place, row))  # rows stay where they are
-            keep = np.arange(len(flat)) - offsets[:-1][row] < size[row]
-            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-            found = pa.ListArray.from_arrays(ends, pa.array(flat[sort][keep]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(n), found], schema.names)
-
-    return own.select("doc_id", "node", "set").mapInArrow(run, schema)
-
-
-def _verified(pairs: DataFrame, own: DataFrame, similar: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """(u, v): those of pairs(a, b) whose whole sets are similar enough."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = common.settle(own.select("node", "set").join(asked, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    common_ = F.size(F.array_intersect("x", "y"))
-    near = common_ * (100 + similar) >= (F.size("x") + F.size("y")) * similar
+    one, other = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    both = pairs.join(one.hint("merge"), "a").join(other.hint("merge"), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    near = shared * (100 + similar) >= (F.size("set_a") + F.size("set_b")) * similar
     return common.settle(both.filter(near).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
 
 
-def similar_components(own: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """(u, v): v is the smallest node that u reaches over pairs of nodes(node, n, prefix) that are similar enough."""
-    t = s.similar
-    rows = nodes.select("node", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("shingle"))
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("shingle")
-    rows = common.settle(rows.join(shared, "shingle"))  # shingles of one document only lead nowhere
-    links = roots = None
-
-    def apart() -> DataFrame:
-        """Rows of groups whose members are not all connected yet."""
-        if roots is None:
-            return rows.withColumn("root", F.col("node"))
-        now = rows.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v")
-        open_ = now.groupBy("shingle").agg(F.min("root").alias("m"), F.max("root").alias("x")).filter("m <> x").select("shingle")
-        return common.settle(now.join(open_, "shingle"))
-
-    for salt in (0, 1, 2):
-        now = apart()
-        left, right = (now.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "p", "root")]) for x in "ab")
-        if salt < 2:  # stars first, so that a large family is connected by about as many pairs as it has members
-            key = F.xxhash64("node") if salt == 0 else F.xxhash64("node", "shingle")
-            lead = now.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "p", "root"), F.struct(key, "node")).alias("l"))
-            left = lead.select("shingle", *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("node", "n", "p", "root")])
-            ordered = F.col("node_a") != F.col("node_b")
-        else:
-            ordered = F.col("node_a") < F.col("node_b")
-        sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t
-        met = left.join(right, "shingle").filter(ordered & sized & (F.col("root_a") != F.col("root_b")))
-        if salt < 2:
-            pairs = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        else:
-            # beyond the shared shingles of the prefixes, sets share at most what follows the prefix that ends first
-            most = F.col("c") + F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-            counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "p_a", "p_b").agg(F.count(F.lit(1)).alias("c"))
-            pairs = counted.filter(most * (100 + t) >= (F.col("n_a") + F.col("n_b")) * t).select("a", "b")
-        found = _verified(common.settle(pairs), own, t)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-    return roots
+class _Cell:
+    """Rows of a cell, and the links between its components."""
+
+    def __init__(self, table: pa.Table, s: Settings) -> None:
+        column = lambda c: table.column(c).to_numpy()
+        self.node, self.root, self.major, self.tile = column("node"), column("root").copy(), column("major"), column("tile")
+        self.band, self.kind, self.diagonal = int(column("band")[0]), int(column("kind")[0]), int(column("g")[0]) == 0
+        sets = table.column("set").combine_chunks()
+        offsets = sets.offsets.to_numpy().astype(np.int64)
+        self.hashes = sets.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
+        self.begin, self.n, self.similar = offsets[:-1] - offsets[0], np.diff(offsets), s.similar
+
+    def links(self) -> list[tuple[int, int]]:
+        least = least_hashes(self.hashes, self.begin + self.n)
+        out, places = [], np.arange(len(self.node))
+        for i in np.flatnonzero(~self.major):
+            if self.kind:
+                others = (places > i) & (self.tile != self.tile[i])
+            else:
+                others = self.major | ((places > i) & self.diagonal)
+            small, large = np.minimum(self.n, self.n[i]), np.maximum(self.n, self.n[i])
+            j = np.flatnonzero(others & (self.root != self.root[i]) & (small * 100 >= large * self.similar))
+            same = least[j] == least[i]
+            # pairs meet in the first band that they share, and nowhere else
+            first = same.reshape(len(j), BANDS, BAND).all(axis=2).argmax(axis=1) == self.band
+            j = j[first & (same.sum(axis=1) >= AGREE)]
+            if not len(j):
+                continue
+            own = self.hashes[self.begin[i] : self.begin[i] + self.n[i]]
+            n = self.n[j]
+            ends = np.cumsum(n)
+            which = np.arange(int(ends[-1])) + np.repeat(self.begin[j] - (ends - n), n)
+            theirs = self.hashes[which]
+            shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs, ends - n, dtype=np.int64)
+            for x in j[shared * (100 + self.similar) >= (n + len(own)) * self.similar]:
+                if self.root[x] != self.root[i]:
+                    out.append((max(self.node[i], self.node[x]), min(self.node[i], self.node[x])))
+                    self.root[self.root == self.root[x]] = self.root[i]
+        return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that are sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in keys]
+        cuts = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _rest(rows: DataFrame, roots: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): links between different components within the groups of rows(key, band, lead, node, n)."""
+    name = lambda c, to: roots.select(F.col("u").alias(c), F.col("v").alias(to))
+    now = rows.join(name("node", "_a"), "node", "left").join(name("lead", "_b"), "lead", "left")
+    now = now.withColumn("root", F.coalesce("_a", "node")).withColumn("major", F.col("root") == F.coalesce("_b", "lead")).select("key", "band", "node", "n", "root", "major")
+    now = common.settle(now)
+    # most members of an open group are in the lead's component: only the others meet all
+    parts = lambda is_: F.ceil(F.greatest(F.count(F.when(is_, 1)) / s.tile, F.sum(F.when(is_, F.col("n"))) / s.tile_shingles)).cast("int")
+    open_ = now.groupBy("key").agg(parts(F.col("major")).alias("majors"), parts(~F.col("major")).alias("minors")).filter("minors > 0")
+    one = now.join(open_, "key").withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    cells = F.expr(
+        "explode(case when major then transform(sequence(0, minors - 1), x -> named_struct('kind', 0, 'g', tile, 'h', x)) "
+        "else concat(transform(sequence(0, majors - 1), x -> named_struct('kind', 0, 'g', x, 'h', tile)), "
+        "transform(filter(sequence(0, minors - 1), x -> x <> tile), x -> named_struct('kind', 1, 'g', least(tile, x), 'h', greatest(tile, x)))) end)"
+    )
+    dealt = one.select("key", "band", "node", "root", "major", "tile", cells.alias("c")).select("key", "band", "node", "root", "major", "tile", "c.kind", "c.g", "c.h")
+    dealt = dealt.join(sets.hint("merge"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["key", "kind", "g", "h"]):
+            if found := _Cell(table, s).links():
+                yield pa.RecordBatch.from_pydict({"u": pa.array([int(u) for u, _ in found], pa.int64()), "v": pa.array([int(v) for _, v in found], pa.int64())})
+        common.release()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["key", "kind", "g", "h"]
+    return common.settle(dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct())
+
+
+def similar_components(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): v is the smallest node that u reaches over pairs of nodes(node, row, n, fp, keys) that are similar enough."""
+    rows = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    groups = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "lead")
+    rows = common.settle(rows.join(groups.hint("merge"), "key"))
+    close = edges(nodes.select("node", "fp"), s).select(F.col("v").alias("a"), F.col("u").alias("b"))
+    met = rows.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    pairs = common.settle(met.unionByName(close).distinct())
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(docs, nodes.select("node", "row").join(asked.hint("merge"), "node"), s)
+    links = _verified(pairs, sets, s.similar)
+    return components(links.unionByName(_rest(rows, components(links), sets, s)))
 
 
 def similar_groups(docs: DataFrame, s: Settings = WIDE) -> DataFrame:
-    """doc_id, node (one for each distinct set of shingles) and component_id, as grouped() gives them: linked are documents
-    with a Jaccard similarity of at least s.similar per cent. Documents without words are copies of each other."""
-    own = common.settle(shingle_sets(docs, s.shingle))
-    found = prefixes(own, _frequent(own, s), s.similar)
-    nodes = common.settle(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    return _named(own, nodes, similar_components(own, nodes, s)).select("doc_id", "node", "component_id")
+    """doc_id, row (a hash of id and text), node (one for each distinct set of shingles), root (one for each group) and component_id, as
+    grouped() gives them: linked are documents with a Jaccard similarity of at least s.similar per cent. Documents without words are
+    copies of each other."""
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    own = common.settle(sketches(docs, s))
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = common.settle(nodes)
+    return _named(own.select("doc_id", "row", "node"), nodes, similar_components(docs, nodes, s))
 
 
 def _named(own: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """own with component_id: the least id of the nodes that are linked with a row's node."""
+    """own with root and component_id: the least id of the nodes that are linked with a row's node."""
     known = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "least", F.coalesce("v", "node").alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(known.join(least, "root").select("node", "component_id"), "node")
+    return own.join(known.join(least, "root").select("node", "root", "component_id"), "node")
 
 
 def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -406,7 +511,7 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Repeated rows and copies share a node. A null id counts only if its group has no other (then component_id is null).
     """
     if s.similar:
-        return similar_groups(docs, s)
+        return similar_groups(docs, s).select("doc_id", "node", "component_id")
     own = fingerprints(docs, s)
     own = own.withColumn("node", F.col("fp")[0] if s.words == 1 else F.xxhash64("fp"))
     own = common.settle(own)
@@ -422,21 +527,13 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def kept(docs: DataFrame, s: Settings = WIDE) -> DataFrame:
-    """One row of each group, that of the smallest doc_id, with the columns of docs; of repeated rows with one id, one."""
-    at = common.settle(grouped(docs, s).select("doc_id", "component_id"))
-    per = at.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
-    name = common.unused("gone", docs.columns)
-    out = per.filter(F.col("doc_id").isNotNull() & ((F.col("doc_id") != F.col("c")) | (F.col("n") > 1)))
-    many = common.settle(out.select(F.col("doc_id").alias(name), (F.col("doc_id") == F.col("c")).alias(f"{name}_one")))
-    ids = docs.filter(F.col("doc_id").isNotNull())
-    rest = ids.join(many.select(name), F.col("doc_id") == F.col(name), "left_anti")
-    parts = [rest]
-    if not many.filter(F.col(f"{name}_one")).isEmpty():  # repeated ids that stay
-        again = many.filter(F.col(f"{name}_one")).select(name)
-        parts.append(ids.join(again, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"]))
-    if not at.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).isEmpty():  # groups that have only null ids
-        parts.append(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result.select(*docs.columns)
+    """One row of each group of near copies, that of the smallest doc_id, with the columns of docs; of repeated rows, one. A row
+    without an id stays only if its group has no row with one."""
+    at = similar_groups(docs, s)
+    row, place, id_ = (common.unused(c, docs.columns) for c in ("row", "place", "kept_id"))
+    best = at.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"))
+    best = common.settle(best.select(F.col("b.row").alias(row), F.col("b.doc_id").alias(id_)).distinct())
+    mine = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(best.hint("merge"), row).filter(F.col("doc_id").eqNullSafe(F.col(id_)))
+    # repeated rows are together already
+    first = mine.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(row)))
+    return first.filter(F.col(place) == 1).select(*docs.columns)
