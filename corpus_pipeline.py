@@ -32,7 +32,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each row."""
     common.ship(spark)
-    return bpe.encode(docs, digests=True)
+    return bpe.encode(docs, bpe.Settings(chunk=6 << 20), digests=True)  # smaller chunks than alone: the ids of a chunk are held too
 
 
 STAGES = [

@@ -164,6 +164,8 @@ def _split(docs: DataFrame, s: Settings, buckets: int) -> DataFrame:
                 state["size"] += len(text or "") + 1
         if state["ids"]:
             yield from flush()
+        state.clear()
+        common.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -197,6 +199,8 @@ def _encode_words(words: DataFrame, shared, buckets: int) -> DataFrame:
                     flat += ids
                 blobs.append(_pack([np.array([len(counts), len(flat)], np.uint32), _planes(np.array(counts, np.uint32)), _planes(np.array(flat, np.uint32))]))
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(blobs, pa.binary())], ["chunk", "bucket", "blob"])
+        known = {}
+        common.release()
 
     dealt = words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     return dealt.mapInArrow(run, "chunk long, bucket int, blob binary")
@@ -236,6 +240,7 @@ def encode(docs: DataFrame, s: Settings | None = None, ids: bool = True, digests
     names = [f.name for f in fields]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        common.release()  # what the chunk before this held
         table = {i: token for token, i in shared.value.items()}
         flat_parts, count_parts = [], []
         for _, blob in sorted(zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist())):
