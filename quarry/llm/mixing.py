@@ -165,7 +165,7 @@ def placed(sized: DataFrame, p: Plan, s: Settings) -> DataFrame:
     before = Window.partitionBy("source_index").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source_index", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     return (
-        d.join(totals, ["source_index", "bucket"])
+        d.join(totals.hint("merge"), ["source_index", "bucket"])
         .withColumn("first", F.col("before") + F.coalesce("within", F.lit(0)))
         .drop("bucket", "within", "before")
     )
@@ -226,6 +226,7 @@ def slots(spark, p: Plan, s: Settings) -> DataFrame:
         at = permute(k % n, n, _key(s.seed, i, k // n)) if len(i) else k
         return pd.DataFrame({"block": at, "words": np.where(k == want[i] - 1, last[i], s.block), "epoch": (k // n).astype("int32")})
 
+    taken = taken.asNondeterministic()  # else it runs twice, once for a filter of keys that aren't null
     one = runs.select("shard", "source_index", F.explode(F.sequence("a", F.col("b") - 1)).alias("slot"))
     return one.select("*", taken("source_index", "slot").alias("t")).select("shard", "source_index", "slot", "t.block", "t.words", "t.epoch")
 
@@ -239,7 +240,8 @@ def spans(at: DataFrame, p: Plan, s: Settings) -> DataFrame:
         F.explode(F.sequence(F.expr(f"first div {s.block}"), F.expr(f"(first + size - 1) div {s.block}"))).alias("block"),
     )
     given = slots(at.sparkSession, p, s)
-    both = pieces.join(given, ["source_index", "block"])
+    # the planner sees the size of the slots' runs, not of the slots: it would broadcast them
+    both = pieces.join(given.hint("merge"), ["source_index", "block"])
     begin = F.greatest(F.col("first"), F.col("block") * size)
     end = F.least(F.col("first") + F.col("size"), F.col("block") * size + F.col("words"))
     return (
