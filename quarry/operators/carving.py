@@ -8,32 +8,64 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.matching import first_headers, matches
+from quarry.operators.matching import Automaton
+from quarry.runtime import settle
 from quarry.schema import as_files
 from quarry.sources import signatures
 
 
+class Head(bytes):
+    """The first bytes of a file, which remember whether a detector wanted to see more of them than there are."""
+
+    short = False
+
+    def __getitem__(self, key):
+        if isinstance(key, slice):
+            self.short |= key.stop is None or key.stop > len(self)
+        else:
+            self.short |= key >= len(self)
+        return bytes.__getitem__(self, key)
+
+    def find(self, part, start=0, end=1 << 62):
+        at = bytes.find(self, part, start, min(end, len(self)))
+        self.short |= at < 0 and end > len(self)
+        return at
+
+    def rfind(self, part, start=0, end=1 << 62):
+        self.short |= end > len(self)  # a later one may follow
+        return bytes.rfind(self, part, start, min(end, len(self)))
+
+
+def _wanted(data: bytes, at: int, most: int) -> None:
+    """A detector stops before place at, since the bytes end there."""
+    if isinstance(data, Head) and at > len(data) and len(data) < most:
+        data.short = True
+
+
 def _u(data: bytes, at: int, kind: str) -> int | None:
     size = struct.calcsize(kind)
-    return struct.unpack_from(kind, data, at)[0] if 0 <= at and at + size <= len(data) else None
+    if 0 <= at and at + size <= len(data):
+        return struct.unpack_from(kind, data, at)[0]
+    _wanted(data, at + size, 1 << 62)
+    return None
 
 
 def jpeg(data: bytes, most: int) -> int:
     """Segments by their lengths; entropy-coded data up to the next true marker; the end marker ends the file."""
-    data = data[:most]
     at = 2
     while True:
-        at = data.find(b"\xff", at)
+        at = data.find(b"\xff", at, most)
         if at < 0:
             return 0
         while data[at : at + 1] == b"\xff":
             at += 1
-        if at >= len(data):
+        if at >= min(len(data), most):
             return 0
         kind = data[at]
         at += 1
@@ -56,6 +88,8 @@ def png(data: bytes, most: int) -> int:
         at += 12 + size
         if kind == b"IEND":
             return at
+    if size is not None and at + 12 + size <= most:
+        _wanted(data, at + 12 + size, most)
     return 0
 
 
@@ -135,6 +169,7 @@ def mp4(data: bytes, most: int) -> int:
     end = 0
     for _, _, stop, _ in _atoms(data, 0, min(most, len(data))):
         end = min(stop, most)
+    _wanted(data, end + 8, most)
     return max(end, sample_end(data, most)) if end else 0
 
 
@@ -174,6 +209,7 @@ def mp3(data: bytes, most: int, least: int = 2) -> int:
     n, bits = 0, None
     while at < min(most, len(data)) and (f := mpeg_frame(data, at)) and (bits is None or f[1] == bits) and at + f[0] <= most:
         at, bits, n = at + f[0], f[1], n + 1
+    _wanted(data, at + 4, most)
     if n < least:
         return 0
     at = min(at, len(data))
@@ -225,11 +261,13 @@ def aac(data: bytes, most: int, least: int = 3) -> int:
         if size < 7 or at + size > most:
             break
         at, n = at + size, n + 1
+    _wanted(data, at + 7, most)
     return min(at, len(data)) if n >= least else 0
 
 
 def gif(data: bytes, most: int) -> int:
     if len(data) < 13:
+        _wanted(data, 13, most)
         return 0
     at = 13 + (3 << (data[10] & 7) + 1 if data[10] & 0x80 else 0)
 
@@ -247,7 +285,9 @@ def gif(data: bytes, most: int) -> int:
             local = data[at + 9]
             at = blocks(at + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
         else:
+            _wanted(data, at + 11, most)
             return 0
+    _wanted(data, at + 1, most)
     return 0
 
 
@@ -379,39 +419,116 @@ def classify(extension: str, data: bytes) -> tuple[str, str]:
     return own
 
 
-def carve(blocks: DataFrame, window: int = 4 * signatures.MB, step: int | None = None) -> DataFrame:
-    """Files found in blocks(image, offset, payload): matches, one per offset, sized, classified, named, with a confidence of
-    0.7 where a detector gave the size and 0.55 where a footer did.
+def _judged(files: DataFrame, answer: Callable[[str, bytes], tuple], fields: str) -> DataFrame:
+    """files without payload, with the fields of answer(extension, payload)."""
+    kept = [f for f in files.schema.fields if f.name != "payload"]
+    names = [f.split()[0] for f in fields.split(", ")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [answer(e or "", p or b"") for e, p in zip(batch.column("extension").to_pylist(), batch.column("payload").to_pylist())]
+            columns = [pa.array([g[i] for g in got], pa.int64() if "long" in f else pa.string()) for i, f in enumerate(fields.split(", "))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], [*(f.name for f in kept), *names])
+
+    return files.mapInArrow(run, schema)
+
+
+def sized(files: DataFrame) -> DataFrame:
+    """files(extension, payload, ...) with size, by size_of(); payload is left out."""
+    return _judged(files, lambda e, p: (size_of(e, p),), "size long")
+
+
+def classified(files: DataFrame) -> DataFrame:
+    """files(extension, payload, ...) with kind and category, by classify(); payload is left out."""
+    return _judged(files, classify, "kind string, category string")
+
+
+#: Bytes from the header on that are looked at in each round; only candidates whose detector wanted more go on to the next.
+WINDOWS = (64 * signatures.KB, signatures.MB, 16 * signatures.MB, 128 * signatures.MB, signatures.GB)
+_FOUND = "image string, offset long, matched string, extension string, category string, size long, open boolean"
+
 
-    A candidate's bytes are the part of its block from the header on, and the blocks after it, up to window bytes: they
-    are joined by block, so that only candidates' bytes move. All blocks must have one length but the last (step; by
-    default the largest).
+def decide(extension: str, data: bytes, last: bool) -> tuple[str, str, int, bool]:
+    """(extension, category, size, open) of a candidate by its first bytes. Open: more bytes may change the answer, and there may
+    be more (not last)."""
+    head = Head(data)
+    most = signatures.largest().get(extension, 0)
+    size = size_of(extension, head, most)
+    if not last and len(data) < most and (head.short or 0 < size and len(data) < min(size, 16384)):
+        return extension, "other", 0, True
+    return (*(classify(extension, data[:size]) if size else (extension, "other")), size, False)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    names = [f.split()[0] for f in _FOUND.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
+def _in_blocks(wide: DataFrame) -> DataFrame:
+    """Candidates of wide(image, offset, payload, own), judged by the bytes of their own block: nothing moves."""
+    patterns = signatures.headers()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Automaton(patterns)
+        for batch in batches:
+            for image, offset, payload, own in zip(*(batch.column(c).to_pylist() for c in ("image", "offset", "payload", "own"))):
+                best: dict[int, tuple[int, str]] = {}
+                for at, pattern, extension in machine.search(payload):
+                    if at < own:  # of matches at one place, the shortest pattern, then by extension
+                        best[at] = min(best.get(at, (1 << 30, "")), (len(pattern), extension))
+                rows = [(image, offset + at, ext, *decide(ext, payload[at:], False)) for at, (_, ext) in sorted(best.items())]
+                yield _rows([r for r in rows if r[5] or r[6]])
+
+    return wide.mapInArrow(run, _FOUND)
+
+
+def _next_window(candidates: DataFrame, blocks: DataFrame, step: int, window: int) -> DataFrame:
+    """Open candidates judged by their first window bytes: only the blocks that these reach are joined."""
+    # the window, and a byte more, which tells whether the image goes on
+    places = candidates.select("image", "offset", "matched", F.explode(F.sequence(F.floor(F.col("offset") / step), F.floor((F.col("offset") + window) / step))).alias("block"))
+    bytes_ = blocks.select("image", F.floor(F.col("offset") / step).alias("block"), "payload")
+    first = F.greatest(F.lit(0), F.col("offset") - F.col("block") * step)
+    stop = F.least(F.lit(step), F.col("offset") + window + 1 - F.col("block") * step)
+    cut = F.substring(F.col("payload"), (first + 1).cast("int"), (stop - first).cast("int"))
+    parts = places.join(bytes_, ["image", "block"]).select("image", "offset", "matched", "block", cut.alias("payload"))
+
+    def judge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        data = b"".join(table.column("payload").to_pylist())
+        image, offset, matched = (table.column(c)[0].as_py() for c in ("image", "offset", "matched"))
+        return pa.Table.from_batches([_rows([(image, offset, matched, *decide(matched, data[:window], len(data) <= window))])])
+
+    return parts.groupBy("image", "offset", "matched").applyInArrow(judge, _FOUND)
+
+
+def carve(blocks: DataFrame, step: int | None = None, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """Files found in blocks(image, offset, payload): matches, one per offset, sized, classified, with a confidence of 0.7 where a
+    detector gave the size and 0.55 where a footer did.
+
+    A candidate is first judged within its block; most false ones end there. The others are judged by ever more bytes,
+    windows[0], windows[1] ..., joined from the blocks after it, until the detector has seen all that it asked for, or the
+    signature's largest size, or the image's end. What still wants more than the last window has the size that it shows.
+    All blocks must have one length but the last (step; by default the largest).
     """
     if step is None:
         step = int(blocks.agg(F.max(F.length("payload"))).first()[0] or 1)
-    patterns = signatures.headers()
     # a pattern may begin at the end of a block: its first bytes of the next one are joined on
-    reach = signatures.overlap([p for p, _ in patterns])
+    reach = signatures.overlap([p for p, _ in signatures.headers()])
     nxt = blocks.select("image", (F.col("offset") - step).alias("offset"), F.expr(f"substring(payload, 1, {reach})").alias("more"))
     wide = blocks.join(nxt, ["image", "offset"], "left").select("image", "offset", F.expr("concat(payload, coalesce(more, X''))").alias("payload"), F.length("payload").alias("own"))
-    found = first_headers(matches(wide, patterns, own="own"))
-    index = F.floor(F.col("offset") / step)
-    places = found.withColumn("block", F.explode(F.sequence(index, F.floor((F.col("offset") + window - 1) / step))))
-    bytes_ = blocks.select("image", F.floor(F.col("offset") / step).alias("block"), "payload")
-    parts = places.join(bytes_, ["image", "block"])
-    cut = F.when(F.col("block") * step < F.col("offset"), F.expr(f"substring(payload, CAST(offset - block * {step} + 1 AS INT), length(payload))")).otherwise(F.col("payload"))
-    parts = parts.select("image", "offset", "extension", "block", cut.alias("payload"))
-
-    def sized(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        data = b"".join(pdf["payload"])[:window]
-        ext = pdf["extension"].iloc[0]
-        size = size_of(ext, data)
-        kind, category = classify(ext, data[:size]) if size else (ext, "other")
-        return pd.DataFrame([[pdf["image"].iloc[0], pdf["offset"].iloc[0], ext, kind, category, size, 0.7 if ext in DETECTORS else 0.55]], columns=["image", "offset", "matched", "extension", "category", "size", "confidence"])
-
-    out = parts.groupBy("image", "offset", "extension").applyInPandas(sized, "image string, offset long, matched string, extension string, category string, size long, confidence double")
-    return out.filter("size > 0")
+    now = settle(_in_blocks(wide))
+    found = [now.filter("not open")]
+    for i, window in enumerate(windows):
+        open_ = now.filter("open")
+        if open_.isEmpty():
+            break
+        now = settle(_next_window(open_, blocks, step, window))
+        found.append(now if i == len(windows) - 1 else now.filter("not open"))
+    sure = F.when(F.col("matched").isin(*DETECTORS), 0.7).otherwise(0.55).alias("confidence")
+    return reduce(DataFrame.unionByName, found).filter("size > 0").select("image", "offset", "matched", "extension", "category", "size", sure)
 
 
 def as_catalogue(carved: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar
-from quarry.operators import aggregates, dedup, joins, predicates
+from quarry.operators import aggregates, dedup, joins, matching, predicates
 from quarry.plans.registry import query
 from quarry.plans.tables import FILES_SQL, RECORDS_SQL, files, load, records
+from quarry.sources import volumes
 
 _quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 _PATH = "lower(replace(originalPath, '\\', '/'))"
@@ -32,9 +33,9 @@ _SCORE = "CASE WHEN floor(confidence * 100 + 0.5) > 0 THEN CAST(floor(least(conf
     UNION ALL SELECT 'events', event_id FROM events) GROUP BY source""",
 )
 def scan_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = lambda t, key: load(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(key).alias("id"))
-    union = part("orders", "o_orderkey").unionByName(part("lineitem", "l_orderkey")).unionByName(part("events", "event_id"))
-    return union.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
+    part = lambda t, key: lambda: load(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(key).cast("string").alias("id"))
+    union = volumes.scan({"orders": part("orders", "o_orderkey"), "lineitem": part("lineitem", "l_orderkey"), "events": part("events", "event_id")})
+    return union.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("long")).alias("id_sum"))
 
 
 @query(
@@ -358,10 +359,14 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact(files(spark, sf_dir).select("sha256", "id", "source", "seq"), "sha256", "source", "seq").select("sha256", "id", "source")
 
 
-@query("dedup_offset", "SELECT min(event_id) AS event_id, user_id, date_trunc('minute', ts) AS minute FROM events GROUP BY user_id, date_trunc('minute', ts)")
+@query(
+    "dedup_offset",
+    """SELECT user_id, "offset", event_type AS extension FROM (SELECT user_id, CAST(floor(value) AS BIGINT) AS "offset", event_type,
+    row_number() OVER (PARTITION BY user_id, CAST(floor(value) AS BIGINT) ORDER BY length(event_type), event_type) AS n FROM events) WHERE n = 1""",
+)
 def dedup_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute"))
-    return e.groupBy("user_id", "minute").agg(F.min("event_id").alias("event_id")).select("event_id", "user_id", "minute")
+    found = load(spark, sf_dir, "events").select("user_id", F.floor("value").alias("offset"), F.col("event_type").alias("extension"), F.encode("event_type", "UTF-8").alias("pattern"))
+    return matching.first_headers(found, ("user_id",)).select("user_id", "offset", "extension")
 
 
 _BITS = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[1:32], x -> CAST(CASE WHEN x > 0 THEN 1 ELSE 0 END AS BIGINT))), lambda a, b: a * 2 + b)"

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.plans.registry import query
 from quarry.plans.tables import load
+from quarry.runtime import scratch
 from quarry.streaming import streams
 
 
@@ -62,12 +64,14 @@ _USER = "PARTITION BY user_id ORDER BY ts, event_id"
 @query(
     "stream_heartbeat",
     f"""WITH d AS (SELECT event_id, user_id, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER ({_USER})) / 1e6 AS dt, value - lag(value) OVER ({_USER}) AS da FROM events),
-    s AS (SELECT event_id, last_value(CASE WHEN dt > 0.1 THEN da / dt END IGNORE NULLS) OVER ({_USER} ROWS UNBOUNDED PRECEDING) AS speed FROM d)
-    SELECT event_id, round(speed, 6) + 0.0 AS speed FROM s""",
+    s AS (SELECT event_id, user_id, ts, last_value(CASE WHEN dt > 0.1 THEN da / dt END IGNORE NULLS) OVER ({_USER} ROWS UNBOUNDED PRECEDING) AS speed FROM d),
+    n AS (SELECT *, coalesce(speed <> 0 AND speed < 1e-4, false) AS slow, sum(CASE WHEN speed >= 1e-4 THEN 1 ELSE 0 END) OVER ({_USER} ROWS UNBOUNDED PRECEDING) AS run FROM s),
+    c AS (SELECT *, slow AND sum(CASE WHEN slow THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 6 AS sixth FROM n)
+    SELECT event_id, round(speed, 6) + 0.0 AS speed, sixth AND row_number() OVER (PARTITION BY user_id, sixth ORDER BY ts, event_id) = 1 AS alarm FROM c""",
 )
 def stream_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir).select("event_id", "user_id", "ts", "value")
-    return streams.drain(streams.heartbeat(s, "user_id", ["ts", "event_id"], "ts", "value", 1e-4, 6)).select("event_id", (F.round("speed", 6) + 0.0).alias("speed"))
+    return streams.drain(streams.heartbeat(s, "user_id", ["ts", "event_id"], "ts", "value", 1e-4, 6)).select("event_id", (F.round("speed", 6) + 0.0).alias("speed"), "alarm")
 
 
 @query(
@@ -78,6 +82,8 @@ def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     line = F.to_json(F.struct(F.lit(2).alias("version"), F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "value"))
     cut = F.when(F.col("event_id") % 10 == 7, F.expr("substring(line, 1, length(line) - 4)")).otherwise(F.col("line"))
-    lines = e.withColumn("line", line).select(cut.alias("line"))
-    parsed = streams.parse_lines(lines, "line", "version int, id long, seq long, value double").filter(F.col("value").isNotNull())
-    return streams.latest(parsed.select("id", "seq", "value"), "id", "seq").select("id", "seq", "value")
+    path = scratch(spark)
+    e.withColumn("line", line).select(cut.alias("line")).write.text(f"{path}/log/batch=0")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("value", T.DoubleType())])
+    streams.compact(spark, path, schema)
+    return streams.replay(spark, path, schema)

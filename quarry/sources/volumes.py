@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+import struct
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.operators.joins import array_members, first_by, rebuild_paths
 from quarry.schema import as_files
@@ -50,9 +54,14 @@ def partitions(blocks: DataFrame, sector: int = 512, brute_force: bool = False)
     table = table.filter((F.col("offset") >= F.col("entries") * sector) & (F.col("offset") < F.col("entries") * sector + F.col("count") * F.col("size")))
 
     def entries(payload: bytes) -> list[dict]:
-        return parsers.gpt_entries(payload, len(payload) // 128, 128)
-
-    gpt = parsers.parsed(table.select("image", "offset", "payload"), entries, "type string, start long, end long")
+        left, size = struct.unpack_from(">II", payload)
+        return parsers.gpt_entries(payload[8:], min(left, (len(payload) - 8) // max(128, size)), size)
+
+    # the header says how large an entry is, and how many there are: both go before a block's bytes
+    left = F.col("count") - F.floor((F.col("offset") - F.col("entries") * sector) / F.col("size")).cast("int")
+    number = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    table = table.filter("size >= 128").select("image", "offset", F.concat(number(left), number(F.col("size")), "payload").alias("payload"))
+    gpt = parsers.parsed(table, entries, "type string, start long, end long")
     gpt = gpt.select("image", (F.col("start") * sector).alias("start"), (F.col("end") - F.col("start") + 1).alias("sectors"), "type", F.lit(False).alias("boot"), F.lit(1).alias("strategy"))
     all_ = [rows, gpt]
     if brute_force:
@@ -123,11 +132,33 @@ def scan(sources: dict[str, Callable[[], DataFrame]]) -> DataFrame:
 
 
 def cache_counters(accesses: DataFrame, capacity: int, key: str = "sector", order: str = "seq", by: str = "reader") -> DataFrame:
-    """hits, misses and evictions of a first-in cache of the last `capacity` accesses of each reader, from an access log: a hit
-    is an access whose sector was accessed at most capacity accesses before."""
-    w = Window.partitionBy(by).orderBy(order)
-    n = accesses.withColumn("_n", F.row_number().over(w))
-    gap = F.col("_n") - F.lag("_n").over(Window.partitionBy(by, key).orderBy("_n"))
-    hit = F.coalesce(gap <= capacity, F.lit(False))
-    c = n.withColumn("_hit", hit).groupBy(by).agg(F.count_if("_hit").alias("hits"), F.count_if(~F.col("_hit")).alias("misses"))
-    return c.withColumn("evictions", F.greatest(F.col("misses") - capacity, F.lit(0)))
+    """hits, misses, puts and evictions of each reader's cache of capacity sectors, of which the least recently used goes first,
+    from an access log: a sector that isn't there is read and put in. A task streams over sorted accesses and holds one cache."""
+    kind = accesses.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict = {}
+        cache: OrderedDict = OrderedDict()
+        now = object()
+        for batch in batches:
+            for reader, sector in zip(batch.column(by).to_pylist(), batch.column(key).to_pylist()):
+                if reader != now:
+                    cache, now = OrderedDict(), reader
+                    counts[reader] = [0, 0, 0, 0]
+                n = counts[reader]
+                if sector in cache:
+                    cache.move_to_end(sector)
+                    n[0] += 1
+                    continue
+                n[1] += 1
+                n[2] += 1
+                if len(cache) >= capacity:
+                    cache.popitem(last=False)
+                    n[3] += 1
+                cache[sector] = True
+        names = [by, "hits", "misses", "puts", "evictions"]
+        yield pa.RecordBatch.from_pydict({name: [x[i] for x in ([r, *c] for r, c in counts.items())] for i, name in enumerate(names)}, schema)
+
+    schema = pa.schema([(by, to_arrow_type(accesses.schema[by].dataType)), *((c, pa.int64()) for c in ("hits", "misses", "puts", "evictions"))])
+    dealt = accesses.select(by, order, key).repartition(by).sortWithinPartitions(by, order)
+    return dealt.mapInArrow(run, f"`{by}` {kind}, hits long, misses long, puts long, evictions long")

@@ -7,9 +7,10 @@ stops goes on where its last committed batch ended.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -101,31 +102,62 @@ def sessions(df: DataFrame, time: str, gap: str, keys: list[str]) -> DataFrame:
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str, compact_every: int = 5000, key: str = "id", seq: str = "seq"):
-    """Appends each micro-batch to a JSON-lines log, and folds the log into the snapshot once it has compact_every rows."""
+    """Writes each micro-batch as JSON lines to a folder of its own, log/batch=N, so that a batch that is tried again replaces
+    itself, and folds the log into a snapshot once it has compact_every rows."""
+    rows: dict[int, int] = {}
 
-    def write(df: DataFrame, _: int) -> None:
-        df.write.mode("append").json(f"{path}/log")
+    def write(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        if spark.read.schema(df.schema).json(f"{path}/log").count() >= compact_every:
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path}/log/batch={batch}")
+        if not rows:  # after a start: what the log has from before
+            rows.update({r.batch: r["count"] for r in spark.read.text(f"{path}/log").groupBy("batch").count().collect()})
+        rows[batch] = seen.get["n"]
+        if sum(rows.values()) >= compact_every:
             compact(spark, path, df.schema, key, seq)
+            rows.clear()
+            rows[-1] = 0
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, function from a name below path to its Hadoop path)."""
+    jvm = spark.sparkContext._jvm
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}" if name else path)
+    return at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _names(spark: SparkSession, path: str, folder: str, prefix: str) -> dict[int, str]:
+    """Numbers and paths of the subfolders of path/folder that are named prefix and a number."""
+    fs, at = _folder(spark, path)
+    if not fs.exists(at(folder)):
+        return {}
+    names = [f.getPath().getName() for f in fs.listStatus(at(folder))]
+    return {int(n.removeprefix(prefix)): f"{folder}/{n}" for n in names if n.startswith(prefix) and n.removeprefix(prefix).isdigit()}
+
+
+def _snapshot(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The last batch in the newest snapshot that was written to its end, and its folder; (-1, None) without one."""
+    fs, at = _folder(spark, path)
+    whole = {n: f for n, f in _names(spark, path, "snapshot", "upto=").items() if fs.exists(at(f"{f}/_SUCCESS"))}
+    return max(whole.items(), default=(-1, None))
+
+
 def replay(spark: SparkSession, path: str, schema: T.StructType, key: str = "id", seq: str = "seq", read: Callable | None = None) -> DataFrame:
-    """Snapshot and log, the last row of each key; lines that can't be read (a cut last one) are skipped."""
+    """The newest whole snapshot and the log's batches after it, the last row of each key; lines that can't be read (a cut last
+    one) are skipped. Lines beside the batches' folders count as well."""
     load = read or (lambda p: spark.read.schema(schema).option("mode", "DROPMALFORMED").json(p))
-    parts = []
-    for name in ("snapshot", "log"):
-        try:
-            parts.append(load(f"{path}/{name}"))
-        except Exception as e:  # a folder that isn't there yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    upto, folder = _snapshot(spark, path)
+    fs, at = _folder(spark, path)
+    parts = [load(f"{path}/{folder}")] if folder else []
+    parts += [load(f"{path}/{f}") for n, f in sorted(_names(spark, path, "log", "batch=").items()) if n > upto]
+    if fs.exists(at("log")) and any(f.isFile() for f in fs.listStatus(at("log"))):
+        parts.append(load(f"{path}/log/*.json"))
     if not parts:
         return spark.createDataFrame([], schema)
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     names = [f.name for f in schema.fields]
+    both = reduce(DataFrame.unionByName, parts)
     return latest(both.filter(F.col(key).isNotNull()), key, seq).select(*names)
 
 
@@ -135,16 +167,27 @@ def latest(rows: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, schema: T.StructType, key: str = "id", seq: str = "seq") -> None:
-    """Writes the replayed rows beside the snapshot, moves them into its place, and clears the log."""
-    now = replay(spark, path, schema, key, seq)
-    now.write.mode("overwrite").json(f"{path}/next")
-    jvm = spark.sparkContext._jvm
-    here = jvm.org.apache.hadoop.fs.Path(path)
-    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    fs.delete(at("snapshot"), True)
-    fs.rename(at("next"), at("snapshot"))
-    fs.delete(at("log"), True)
+    """Writes the replayed rows as a new snapshot, named by the last batch in it, and then deletes what it replaces. A crash at
+    any point loses nothing: a snapshot counts from its success mark on, and batches up to it no longer count."""
+    old, folder = _snapshot(spark, path)
+    batches = _names(spark, path, "log", "batch=")
+    upto = max([old, *batches, 0])
+    fs, at = _folder(spark, path)
+    loose = fs.exists(at("log")) and any(f.isFile() for f in fs.listStatus(at("log")))
+    if upto == old and not loose:
+        return
+    if upto == old:  # lines beside the batches only: the new snapshot needs a name of its own
+        upto += 1
+    replay(spark, path, schema, key, seq).write.mode("overwrite").json(f"{path}/snapshot/upto={upto}")
+    if loose:
+        for f in fs.listStatus(at("log")):
+            if f.isFile():
+                fs.delete(f.getPath(), False)
+    for n, name in batches.items():
+        if n <= upto:
+            fs.delete(at(name), True)
+    if folder and folder != f"snapshot/upto={upto}":
+        fs.delete(at(folder), True)
 
 
 def parse_lines(lines: DataFrame, column: str, schema: str, versions: tuple[int, ...] = (1, 2)) -> DataFrame:

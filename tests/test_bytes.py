@@ -106,24 +106,73 @@ def test_carve(spark):
     image = b"\x11" * 700 + make_png() + b"\x22" * 333 + JPEG + b"\x33" * 500 + PDF + b"\x11" * 100
     for step in (256, 1000, len(image)):
         rows = [("disk", a, bytearray(image[a : a + step])) for a in range(0, len(image), step)]
-        got = carving.carve(spark.createDataFrame(rows, "image string, offset long, payload binary"), window=1 << 16, step=step)
+        got = carving.carve(spark.createDataFrame(rows, "image string, offset long, payload binary"), step=step, windows=(512, 2048, 1 << 16))
         found = {(r.offset, r.extension, r["size"]) for r in got.collect()}
         assert {(700, "png", len(make_png())), (image.index(JPEG), "jpg", len(JPEG)), (image.index(PDF), "pdf", len(PDF))} <= found
     files = carving.as_catalogue(got)
     assert files.columns == as_files(files).columns and files.filter("source = 'carver'").count() == len(found)
 
 
+def big_png(n):
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"IDAT", b"\x5a" * n) + chunk(b"IEND", b"")
+
+
+def test_carve_files_of_many_blocks(spark):
+    """Files above every window but the last, and a large one of which only the atoms' headers count."""
+    pngs = [big_png(n) for n in (1 << 20, 6 << 20)]
+    atoms = b"\0\0\0\x18ftypisom\0\0\0\0isomiso2" + struct.pack(">I", 8 + (5 << 20)) + b"mdat" + b"\x5a" * (5 << 20) + b"\0\0\0\x08moov"
+    image = b"\x11" * 1000 + pngs[0] + b"\x11" * 77 + pngs[1] + b"\x11" * 1234 + atoms + b"\x11" * 5000
+    rows = [("disk", a, bytearray(image[a : a + (1 << 18)])) for a in range(0, len(image), 1 << 18)]
+    got = carving.carve(spark.createDataFrame(rows, "image string, offset long, payload binary"))
+    assert {(r.offset, r.extension, r["size"]) for r in got.collect()} == {(1000, "png", len(pngs[0])), (1077 + len(pngs[0]), "png", len(pngs[1])), (image.index(atoms), "mp4", len(atoms))}
+
+
+@pytest.mark.parametrize("ext, data", [("jpg", JPEG), ("png", make_png()), ("gif", b"GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2ab\0;"), ("mid", b"MThd\0\0\0\6\0\0\0\1\0\1MTrk\0\0\0\2ab"), ("mp3", (b"\xff\xfb\x90\x64" + b"\0" * 413) * 4)])
+def test_decided_only_with_enough_bytes(ext, data):
+    """Whatever a prefix decides, the whole file says too; and noise is rejected by its first bytes."""
+    rest = b"\x11" * 40_000
+    want = carving.decide(ext, data + rest, True)
+    assert want[2] == len(data)
+    for n in range(1, len(data) + 3):
+        got = carving.decide(ext, (data + rest)[:n], False)
+        assert got[3] or got == want
+    assert carving.decide("bmp", b"BM" + b"\x01" * 60, False) == ("bmp", "other", 0, False)
+
+
 def test_scores():
     assert validate.validate("jpg", JPEG)[0] and validate.validate("png", make_png())[:2] == (True, 1.0)
     assert validate.validate("pdf", PDF)[0] and validate.validate("docx", make_zip())[0]
     broken = bytearray(make_png())
-    broken[45] ^= 0xFF
-    assert validate.validate("png", bytes(broken))[:2] == (True, 0.7) and not validate.validate("png", make_png()[:20])[0]
+    broken[20] ^= 0xFF
+    assert validate.validate("png", bytes(broken))[:2] == (True, 0.7) and validate.validate("png", big_png(200))[:2] == (False, 0.0) and not validate.validate("png", make_png()[:20])[0]
     assert validate.validate("mp4", b"\0\0\0\x10ftypisom\0\0\0\0")[:2] == (False, 0.2)
     assert validate.validate("dat", bytes(100))[:2] == (False, 0.0)
     assert validate.magic_holds("ntfs", "", b"") and not validate.magic_holds("carver", "", b"") and not validate.magic_holds("carver", "png", b"abc")
 
 
+def test_scores_reject_foreign_bytes():
+    big = b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\4ab" + b"\x11\xff\x00\xff\xd0" * 400 + b"\xff\xd9"
+    assert validate.validate("jpg", big)[:2] == (True, 1.0) and validate.validate("jpg", big[:-2])[:2] == (False, 0.0)
+    assert validate.validate("jpg", big.replace(b"\xff\xd0", b"\xff\xc4"))[:2] == (False, 0.0)
+    assert validate.validate("jpg", b"\xff\xd8" + b"\0" * 98)[:2] == (False, 0.0)
+    assert validate.validate("jpeg", big, True)[:2] == (True, 1.0)
+    assert validate.stream_health(b"\xff\xd8" + b"\0" * 40 + b"\xff\xd9") == 0.3
+    assert validate.validate("png", b"XX" + make_png())[1] == 0 and validate.validate("mp4", b"\0" * 64)[1] == 0 and validate.validate("bmp", b"XX" + b"\0" * 60)[1] == 0
+    assert validate.validate("bmp", b"BM" + struct.pack("<IIII", 60, 0, 54, 40) + b"\0" * 42)[:2] == (True, 1.0)
+    mp4 = b"\0\0\0\x10ftypmp42\0\0\0\0" + b"\0\0\0\x0amoovab" + b"\0\0\0\x0cmdatabcd"
+    assert validate.validate("mp4", mp4)[:2] == (True, 1.0) and validate.validate("mp4", mp4 + b"\0\0\0\x01")[:2] == (True, 1.0) and validate.validate("mp4", mp4[:-1])[1] == 0.95
+    assert validate.validate("dat", b"ab" * 3000)[1] == 0.5 and validate.validate("dat", os.urandom(5000))[1] == 0.6 and validate.validate("dat", b"a" * 9)[1] == 0.2
+
+
+def test_paranoid_fragments():
+    even = bytes(range(256)) * 1024
+    assert validate.fragment_paranoid("png", even) == 0 and validate.fragment_paranoid("png", even[: len(even) // 2] + b"%PDF-" + even[len(even) // 2 + 5 :]) == 0.85
+    assert validate.fragment_paranoid("txt", bytes(130_000) + even) == 0.6 and validate.fragment_paranoid("jpg", JPEG * 5000) == 0.9
+    atom = b"\0\1\0\0ftyp" + bytes(65528)
+    assert validate.fragment_paranoid("mp4", atom + b"\0\0\0\4mdat" + bytes(9)) == 0.8 and validate.fragment_paranoid("mp4", atom + b"\0\0\1\0\1\2\3\4" + bytes(9)) == 0.75
+
+
 def test_repair():
     assert validate.repair_jpeg(b"xx" + JPEG + b"tail")[0] == JPEG
     assert validate.repair_jpeg(JPEG[:-2])[0].endswith(b"\xff\xd9") and validate.repair_jpeg(b"no") == (b"", "no start marker")

@@ -74,4 +74,27 @@ def test_session_log(spark, tmp_path):
     want = [("a", 3, 9), ("b", 2, 5)]
     assert sorted(map(tuple, streams.replay(spark, path, schema).collect())) == want
     streams.compact(spark, path, schema)
-    assert sorted(map(tuple, streams.replay(spark, path, schema).collect())) == want and not (tmp_path / "session/log").exists()
+    assert sorted(map(tuple, streams.replay(spark, path, schema).collect())) == want and not list((tmp_path / "session/log").glob("part*"))
+    # a snapshot that wasn't finished doesn't count, and a batch that is tried again replaces itself
+    (tmp_path / "session/snapshot/upto=9").mkdir()
+    (tmp_path / "session/snapshot/upto=9/part-0.json").write_text(json.dumps({"id": "z", "seq": 9, "size": 9}))
+    new = spark.createDataFrame([("b", 7, 7)], schema)
+    for _ in range(2):
+        new.write.mode("overwrite").json(str(tmp_path / "session/log/batch=4"))
+    want = [("a", 3, 9), ("b", 7, 7)]
+    assert sorted(map(tuple, streams.replay(spark, path, schema).collect())) == want
+    streams.compact(spark, path, schema)
+    assert sorted(map(tuple, streams.replay(spark, path, schema).collect())) == want and not (tmp_path / "session/log/batch=4").exists()
+
+
+def test_append_log(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("seq", T.LongType())])
+    for k in range(3):
+        spark.createDataFrame([(f"k{i % 4}", 10 * k + i) for i in range(6)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "log")
+    q = streams.append_log(streams.read_files(spark, str(tmp_path / "in"), schema, 1), path, str(tmp_path / "checkpoint"), compact_every=10).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, streams.replay(spark, path, schema).collect())) == [("k0", 24), ("k1", 25), ("k2", 22), ("k3", 23)]
+    assert [p.name for p in (tmp_path / "log/snapshot").iterdir() if p.is_dir()] == ["upto=1"]

@@ -66,4 +66,7 @@ def test_scan_leaves_out_what_fails(spark):
 
 def test_counters(spark):
     log = spark.createDataFrame([("r", i, s) for i, s in enumerate([1, 2, 1, 3, 4, 5, 1, 5])], "reader string, seq int, sector int")
-    assert [tuple(r) for r in volumes.cache_counters(log, 3).collect()] == [("r", 2, 6, 3)]
+    assert [tuple(r) for r in volumes.cache_counters(log, 3).collect()] == [("r", 2, 6, 6, 3)]
+    # a sector stays as long as fewer than capacity others were used since, however often
+    log = spark.createDataFrame([("r", i, s) for i, s in enumerate([1, 2, 2, 2, 2, 1, 3, 4, 1, 2])], "reader string, seq int, sector int")
+    assert [tuple(r) for r in volumes.cache_counters(log, 3).collect()] == [("r", 5, 5, 5, 2)]
