@@ -4,28 +4,32 @@ A token is an element at its place in the tree (its path of tags, ids and classe
 are different tokens), or a whole block of text at such a place. Its occurrence vector over the pages of a host is how
 often it occurs in each of them. Tokens with the same vector form an equivalence class; the vector is never built: the
 sum over pages of a hash of (page, count) stands for it, so that counting is one aggregation of partial sums, whatever
-share of all pages a host holds.
+share of all pages a host holds. Equal pages of a host count once.
 
-A class is valid if its tokens occur in the same order and nested in each page; here: elements whose parent is in a class
-that occurs at least as often, beginning with the root class, that of <html>. Nesting the valid classes gives the host's
-template; between its elements lie slots. Text tokens that a class repeats on most pages of a host, outside the main
-element, belong to the template. The main element is the deepest template element that holds most of the text in the
-slots that remain after those whose path says what they are (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments). All remaining blocks of it are the page's main text, in page order.
+A class is of the template if it has at least two tokens and is on at least half of the host's pages. It nests by the
+paths of its tokens: those with one parent are a group, which must occur in one order in all pages, as often as the class
+does; a group that doesn't is not valid. Nesting the valid groups below their parents gives the host's template. Text tokens
+in it are the same on most pages: template text. What stands between the template's tokens are slots, and the blocks in
+them are what a page says itself.
 
-Two passes over the pages, each page on its own in Python; between them, rows per host and token.
+A page's main text is the blocks in its slots, in page order, without those whose path says what they are (menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, comments), and, if it has an article or main element, only what is
+in those. If most of an article's text is template text, the host repeats the article and not a template: it stays whole. So does a
+page that would lose all of its text.
+
+Each page is parsed once; its tokens and blocks are written to the shared scratch folder.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +44,9 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 SCOPE = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select", "thead": "table", "tbody": "table", "tfoot": "table"}
 NOT_MAIN = frozenset("nav header footer aside form script style noscript template iframe button select textarea input svg canvas object menu dialog head title fieldset datalist".split())
 NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Elements that hold text or a list, not the whole main text.
-NOT_WHOLE = "p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot table ul ol dl pre blockquote address figure figcaption caption summary".split()
+#: Elements below this depth share the path of the last one above it: so deep, places are no longer told apart.
 DEEP = 200
-SALTS = 32
+REGION = ("article", "main")
 #: Words of an id or class that say that an element is no main text.
 NOT_MAIN_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|adbox|adslot|banners?|sponsor(?:s|ed)?|promos?|promotions?|cookies?|consent|gdpr|notices?|notification|"
@@ -62,19 +65,27 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class Settings:
-    """support: share of a host's pages in which a class must occur to be of the template. main: share of the remaining
-    text that the main element must hold."""
+    """support: share of a host's pages on which a class of the template is, at least. pages: different pages of a host, at least, for
+    it to have a template. size: tokens of a class, at least. copy: share of an article that is template text, from which on the article
+    itself is repeated. broadcast: template tokens of all hosts, at most, that are broadcast; more go to the pages in a join by host."""
 
     support: float = 0.5
-    main: float = 0.6
+    pages: int = 3
+    size: int = 2
+    copy: float = 0.5
+    broadcast: int = 1_000_000
 
 
 @dataclass
 class Page:
-    """blocks: (path, text, excluded). elements: paths, in order of their begin tags."""
+    """items, in page order: (path, None, False, False) of an element that begins; (path of its element, text, excluded, whether
+    in an article or main element) of a block."""
+
+    items: list[tuple[str, str | None, bool, bool]] = field(default_factory=list)
 
-    blocks: list[tuple[str, str, bool]] = field(default_factory=list)
-    elements: list[str] = field(default_factory=list)
+    @property
+    def blocks(self) -> list[tuple[str, str, bool]]:
+        return [(path, text, out) for path, text, out, _ in self.items if text is not None]
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -136,7 +147,7 @@ def parse(html: str) -> Page:
             text.clear()
             if t:
                 up = next(s for s in reversed(stack) if s[0] not in INLINE)  # text of a hidden inline element never gets here
-                page.blocks.append((up[1], t, up[2]))
+                page.items.append((up[1], t, up[2], any(s[0] in REGION for s in stack)))
 
     def close(tag: str, scope: str = "") -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -187,7 +198,7 @@ def parse(html: str) -> Page:
             continue
         attrs = _attributes(rest)
         if tag in RAW:  # up to its end tag there is no markup
-            page.elements.append(f"{stack[-1][1]}/{_step(tag, attrs)}")
+            page.items.append((f"{stack[-1][1]}/{_step(tag, attrs)}", None, False, False))
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
@@ -202,9 +213,8 @@ def parse(html: str) -> Page:
         if rest.endswith("/") and tag not in ("p", "div", "li"):
             continue
         up = stack[-1]
-        # so deep, places are no longer told apart
         path = f"{up[1]}/{_step(tag, attrs)}" if len(stack) < DEEP else up[1]
-        page.elements.append(path)
+        page.items.append((path, None, False, False))
         stack.append((tag, path, up[2] or _excluded(tag, attrs)))
     flush()
     return page
@@ -216,85 +226,143 @@ def host(url: str):
     return F.regexp_replace(F.lower(found), r"^(?:www|m)\.", "")
 
 
-def _rows(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host("url").alias("host"))
+def _id(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"), 7) - (1 << 63)
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """Per host and token: kind (0 element, 1 text, 2 host), path, token, pages, total, vector (stands for the occurrence
-    vector) and chars (of text that isn't excluded by its path, for elements: within them)."""
-    schema = "host string, kind int, path string, token long, pages long, total long, vector long, chars long"
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, page (equal for equal html), and, in page order, for each token: token, parent (of its group) and text
+    (null for an element), out (excluded by its path) and inside (an article or main element)."""
+    fields = [
+        T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("page", T.LongType()),
+        T.StructField("token", T.ArrayType(T.LongType())), T.StructField("parent", T.ArrayType(T.LongType())), T.StructField("text", T.ArrayType(T.StringType())),
+        T.StructField("out", T.ArrayType(T.BooleanType())), T.StructField("inside", T.ArrayType(T.BooleanType())),
+    ]
+    names = [f.name for f in fields]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column("html").to_pylist()
+            known: dict[str, tuple[int, int]] = {}  # of a path: its token, and its parent's
+            for a, b in common.slices(whole):
+                columns: list[list] = [[] for _ in kinds]
+                ends = [0]
+                for html in whole[a:b]:
+                    for path, text, out, inside in parse(html or "").items:
+                        if path not in known:
+                            known[path] = _id(path), _id(path.rpartition("/")[0])
+                        own = known[path]
+                        row = (own[0], own[1], None, False, False) if text is None else (_id(path, text), own[0], text, out, inside)
+                        for column, value in zip(columns, row):
+                            column.append(value)
+                    ends.append(len(columns[0]))
+                offsets = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(c, k)) for c, k in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("page_id", "url", "host", "page")), *lists], names)
+        common.release()
+
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), host("url").alias("host"), F.xxhash64("html").alias("page"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def _sums(found: DataFrame) -> DataFrame:
+    """Per host and token of found(host, page, token, parent, block): parent, block, pages, total, and vector, which stands for the
+    occurrence vector. The host's own row has token 0 and parent null."""
+    schema = "host string, token long, parent long, block boolean, pages long, total long, vector long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple, list[int]] = {}
-            for url, html, name in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), batch.column("host").to_pylist()):
-                page = parse(html or "")
-                who = zlib.crc32((html or "").encode("utf-8", "surrogatepass")) << 20 ^ zlib.crc32((url or "").encode("utf-8", "surrogatepass"))
-                counts = Counter((0, p, 0) for p in page.elements)
-                inside: Counter = Counter()
-                for path, text, excluded in page.blocks:
-                    counts[1, path, zlib.crc32(text.encode("utf-8", "surrogatepass")) << 20 ^ len(text)] += 1
-                    if not excluded:
-                        while path:
-                            inside[path] += len(text)
-                            path = path.rpartition("/")[0]
-                counts[2, "", 0] = 1
-                for (kind, path, token), n in counts.items():
-                    got = sums.setdefault((name, kind, path, token), [0, 0, 0, 0])
+            for name, page, tokens, parents, block in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "token", "parent", "block"))):
+                what = {t: (p, b) for t, p, b in zip(tokens, parents, block)}
+                for token, n in Counter(tokens).items():
+                    got = sums.setdefault((name, token, *what[token]), [0, 0, 0])
                     got[0] += 1
                     got[1] += n
-                    got[2] = (got[2] + (who * 0x9E3779B97F4A7C15 + n) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-                    got[3] += inside[path] if kind == 0 else 0
-            rows = [(*k, v[0], v[1], v[2] - (1 << 64) if v[2] >> 63 else v[2], v[3]) for k, v in sums.items()]
-            cols = list(zip(*rows)) if rows else [[] for _ in names]
-            types = [pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
-    found = _rows(pages).mapInArrow(run, schema)
-    # the tasks' sums modulo 2**64 are added as decimals, and taken modulo 2**64 again where they are compared
-    return found.groupBy("host", "kind", "path", "token").agg(
-        F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("chars").alias("chars")
-    )
-
-
-def templates(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """host, main (path of the main element; empty: the whole page) and boilerplate (tokens of template text)."""
-    # a text on one page only is on less than half of three pages or more: it can't be of a template
-    found = common.settle(tokens(pages).filter("kind <> 1 or pages > 1"))
-    hosts = found.filter("kind = 2").select("host", F.col("pages").alias("all_pages"))
-    modulus = F.expr("cast(18446744073709551616 as decimal(38,0))")
-    known = found.filter("kind < 2").join(hosts, "host").withColumn("vector", F.pmod("vector", modulus))
-    # equivalence classes: tokens of a host with the same vector; of the template if on enough of its pages
-    frequent = known.filter(F.col("pages") >= F.col("all_pages") * s.support)
-    classes = frequent.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("pages").alias("support"))
-    member = frequent.join(classes, ["host", "vector"])
-    elements = member.filter("kind = 0")
-    parents = elements.select("host", F.col("path").alias("parent"), F.col("support").alias("parent_support"))
-    nested = elements.withColumn("parent", F.expr("regexp_replace(path, '/[^/]*$', '')")).join(parents, ["host", "parent"], "left")
-    valid = nested.filter((F.col("parent") == "") | (F.col("parent_support") >= F.col("support"))).filter("total = pages")
-    top = valid.groupBy("host").agg(F.max("chars").alias("most"))
-    held = valid.join(top, "host").filter((F.col("chars") >= F.col("most") * s.main) & (F.col("chars") > 0))
-    held = held.filter(~F.regexp_extract("path", r"([^/.]*)(\.[^/]*)?$", 1).isin(*NOT_WHOLE))
-    depth = F.size(F.split("path", "/"))
-    main = held.groupBy("host").agg(F.max_by("path", F.struct(depth, "chars", "path")).alias("main"))
-    fixed = member.filter("kind = 1 and all_pages >= 3")  # text that repeats on most pages
-    texts = fixed.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("path", "token"))).alias("boilerplate"))
-    return hosts.select("host").join(main, "host", "left").join(texts, "host", "left").select(
-        "host", F.coalesce("main", F.lit("")).alias("main"), F.coalesce("boilerplate", F.expr("cast(array() as array<struct<path:string,token:bigint>>)")).alias("boilerplate")
-    )
-
-
-def main_text(html: str | None, main: str, boilerplate: frozenset | set) -> str:
-    """The main text of a page under its host's template; a page without the main element gives all that is left."""
-    page = parse(html or "")
-    within = [b for b in page.blocks if not b[2] and (not main or b[0] == main or b[0].startswith(main + "/"))]
-    if within:
-        return " ".join(t for _, t, _ in within)
-    rest = [(p, t) for p, t, out in page.blocks if not out]
-    named = [(p, t) for p, t in rest if re.search(r"/(?:article|main)(?=[./]|$)", p)]
-    return " ".join(t for p, t in named or rest if (p, zlib.crc32(t.encode("utf-8", "surrogatepass")) << 20 ^ len(t)) not in boilerplate)
+                    got[2] = (got[2] + (page * 0x9E3779B97F4A7C15 + n) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+                sums.setdefault((name, 0, None, None), [0, 0, 0])[0] += 1
+            rows = [(*k, v[0], v[1], v[2] - (1 << 64) if v[2] >> 63 else v[2]) for k, v in sums.items()]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
+        common.release()
+
+    # the tasks' sums modulo 2**64 are added as decimals, and taken modulo 2**64 again
+    vector = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.expr("cast(18446744073709551616 as decimal(38,0))"))
+    return found.mapInArrow(run, schema).groupBy("host", "token", "parent", "block").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), vector.alias("vector"))
+
+
+def _with_hosts(pages: DataFrame, rows: DataFrame, columns: list[str], s: Settings) -> DataFrame:
+    """pages with arrays of the columns of rows(host, ...), those of a page's host; null without any."""
+    lists = rows.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("rows")).select("host", *[F.col("rows")[c].alias(f"host_{c}") for c in columns])
+    small = rows.limit(s.broadcast + 1).count() <= s.broadcast
+    return pages.join(lists.hint("broadcast" if small else "merge"), "host", "left")
+
+
+def _orders(found: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
+    """(host, group) of groups(host, token, group, members) that occur in one order: on each page all members, time after time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], list[int]] = {}
+        of: dict[str, tuple[dict, dict]] = {}
+        for batch in batches:
+            lists = [batch.column(f"host_{c}") for c in ("token", "group", "members")]
+            for i, (name, page, tokens) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "page", "token")))):
+                if name not in of:
+                    if len(of) > 1000:
+                        of.clear()
+                    t, g, m = (x[i].as_py() or [] for x in lists)
+                    of[name] = dict(zip(t, g)), dict(zip(g, m))
+                group_of, members = of[name]
+                order: dict[int, list[int]] = {}
+                for t in tokens:
+                    if (g := group_of.get(t)) is not None:
+                        order.setdefault(g, []).append(t)
+                for g, run_ in order.items():
+                    m = members[g]
+                    first = tuple(run_[:m])
+                    ordered = len(set(first)) == m and run_ == list(first) * (len(run_) // m)
+                    low, high = (hash(first), hash(first)) if ordered else (-(1 << 63), (1 << 63) - 1)
+                    got = seen.setdefault((name, g), [low, high])
+                    got[0], got[1] = min(got[0], low), max(got[1], high)
+        if seen:
+            yield pa.RecordBatch.from_pydict({
+                "host": pa.array([k[0] for k in seen], pa.string()), "group": pa.array([k[1] for k in seen], pa.int64()),
+                "least": pa.array([v[0] for v in seen.values()], pa.int64()), "most": pa.array([v[1] for v in seen.values()], pa.int64()),
+            })
+
+    told = _with_hosts(found, groups, ["token", "group", "members"], s).filter("host_token is not null")
+    per = told.mapInArrow(run, "host string, group long, least long, most long").groupBy("host", "group").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    return per.filter("least = most").select("host", "group")
+
+
+def templates(found: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """host, token: the tokens of the hosts' templates, and whether they are text (block), from parsed pages."""
+    pages = found.select("host", "page", "token", "parent", F.transform("text", lambda t: t.isNotNull()).alias("block"))
+    pages = common.settle(pages.dropDuplicates(["host", "page"]))
+    sums = common.settle(_sums(pages).filter("pages > 1 or token = 0"))
+    hosts = sums.filter("token = 0 and parent is null").select("host", F.col("pages").alias("all_pages")).filter(F.col("all_pages") >= s.pages)
+    frequent = sums.filter("parent is not null").join(hosts, "host").filter(F.col("pages") >= F.col("all_pages") * s.support)
+    classes = frequent.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= s.size)
+    member = frequent.join(classes, ["host", "vector"]).select("host", "token", "block", F.xxhash64("vector", "parent").alias("group"))
+    member = common.settle(member)
+    groups = member.groupBy("host", "group").agg(F.count(F.lit(1)).alias("members"))
+    ordered = _orders(pages, member.join(groups.filter("members > 1"), ["host", "group"]), s)
+    alone = groups.filter("members = 1").select("host", "group")  # always in order
+    return member.join(alone.unionByName(ordered), ["host", "group"]).select("host", "token", "block")
+
+
+def main_text(blocks: list[tuple[int, str, bool, bool]], template: frozenset | set, s: Settings = Settings()) -> str:
+    """The main text of a page's blocks (token, text, excluded, in an article) under its host's template text."""
+    rest = [b for b in blocks if not b[2]]
+    article = [b for b in rest if b[3]]
+    rest = article or rest
+    own = [b for b in rest if b[0] not in template]
+    whole = sum(len(b[1]) for b in rest)
+    if article and whole - sum(len(b[1]) for b in own) > s.copy * whole:
+        own = rest
+    return " ".join(b[1] for b in own or rest)
 
 
 def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -306,23 +374,22 @@ def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     schema = T.StructType([
         T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()),
     ])
-    known = templates(pages, s)
-    # a host may have any share of the pages: its row stands in each of SALTS parts, and a page looks into one of them
-    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("part")
-    known = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    rows = _rows(pages).select("*", part).join(known, ["host", "part"], "left").drop("part")
+    found = common.settle(parsed(pages))
+    fixed = common.settle(templates(found, s).filter("block").select("host", "token"))
+    rows = _with_hosts(found.select("page_id", "url", "host", "token", "text", "out", "inside"), fixed, ["token"], s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, frozenset] = {}
         for batch in batches:
-            out = []
-            columns = [batch.column(c) for c in ("html", "main", "host")]
-            for i, (html, main, name) in enumerate(zip(*(c.to_pylist() for c in columns))):
-                if name not in sets:
+            template, out = batch.column("host_token"), []
+            names = batch.column("host").to_pylist()
+            for i, blocks in enumerate(zip(*(batch.column(c) for c in ("token", "text", "out", "inside")))):
+                if names[i] not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[name] = frozenset((b["path"], b["token"]) for b in batch.column("boilerplate")[i].as_py() or ())
-                out.append(main_text(html, main or "", sets[name]))
+                    sets[names[i]] = frozenset(template[i].as_py() or ())
+                out.append(main_text([b for b in zip(*(c.as_py() for c in blocks)) if b[1] is not None], sets[names[i]], s))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], schema.names)
+        common.release()
 
     return rows.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from quarry.llm import ann, bpe, common, langid, media, mixing, queries, quality, simhash, toxicity
+from quarry.llm import ann, bpe, common, html, langid, media, mixing, queries, quality, simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -415,3 +415,80 @@ def test_code_switched_text(spark):
     for a, b in itertools.permutations(sorted(own), 2):
         text = " ".join(own[a].split()[:60] + own[b].split()[:20])
         assert langid.predict(m, [text])[0] == [a]
+
+
+# ---- html
+
+
+def plain_template(pages, support=0.5):
+    """Text tokens (path, text) of a host's template, by explicit occurrence vectors over its different pages; pages are lists of
+    (path, text or None), in order."""
+    pages = [list(p) for p in dict.fromkeys(map(tuple, pages))]
+    if len(pages) < 3:
+        return set()
+    classes = {}
+    for t in {t for p in pages for t in p}:
+        classes.setdefault(tuple(p.count(t) for p in pages), []).append(t)
+    out = set()
+    for vector, members in classes.items():
+        if len(members) < 2 or sum(map(bool, vector)) < support * len(pages):
+            continue
+        groups = {}
+        for path, text in members:
+            groups.setdefault(path if text is not None else path.rpartition("/")[0], []).append((path, text))
+        for group in groups.values():
+            orders = set()
+            for p, n in zip(pages, vector):
+                if n:
+                    run = [t for t in p if t in group]
+                    orders.add(tuple(run[: len(group)]) if run == run[: len(group)] * n else p.index(run[0]) + 1j)
+            if len(orders) == 1 and not isinstance(next(iter(orders)), complex):
+                out |= {t for t in group if t[1] is not None}
+    return out
+
+
+def nameless_pages(rng, n):
+    """Pages without telling names: a fixed menu, a box on some pages, two notes that change places, an article, a closing line."""
+    out = []
+    for i in range(n):
+        word = lambda: f"w{rng.randrange(10**6)}"
+        notes = ["<p>Note one</p>", "<p>Note two</p>"]
+        rng.shuffle(notes)
+        box = "<table><tr><td>Seen today</td></tr></table>" if i % 3 else ""
+        body = "".join(f"<p>{' '.join(word() for _ in range(20))}</p>" for _ in range(rng.randrange(1, 4)))
+        out.append(f"<html><body><div><ul><li>Start</li><li>All pages</li></ul></div>{box}<dl>{''.join(notes)}</dl><section><h1>{word()}</h1>{body}</section><div>Made with care</div></body></html>")
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(3)
+    hosts = {"a.org": nameless_pages(rng, 9), "b.org": nameless_pages(rng, 2), "c.org": nameless_pages(rng, 4) * 2}
+    rows = [(i, f"http://{h}/{i}", p) for h, pages in hosts.items() for i, p in enumerate(pages)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {}
+    for h, pages in hosts.items():
+        fixed = plain_template([tuple((x[0], x[1]) for x in html.parse(p).items) for p in pages])
+        for i, p in enumerate(pages):
+            want[h, i] = " ".join(t for path, t, _ in html.parse(p).blocks if (path, t) not in fixed)
+    for s in (html.Settings(), html.Settings(broadcast=1)):  # both ways to bring a host's template to its pages
+        got = {(r.url.split("/")[2], r.page_id): r.text for r in html.extract(docs, s).collect()}
+        assert got == want
+    assert "Note one" in want["a.org", 0] and "Start" not in want["a.org", 0] and "Made with care" not in want["a.org", 0] and "Seen today" not in want["a.org", 1]
+    assert "Start" in want["b.org", 0] and "Start" not in want["c.org", 5]
+
+
+def test_repeated_articles_are_no_template(spark):
+    """Near copies of an article on one host keep their text; a line that all its articles have goes."""
+    same = "<article><h1>Title</h1><p>A text that three pages share, word by word.</p></article>"
+    pages = [f"<body><ul><li>link {i}</li></ul>{same}</body>" for i in range(3)]
+    other = [f"<body><article><p>Text number {i} is long and {i * 7919} its own</p><p>Share</p></article></body>" for i in range(5)]
+    rows = [(i, "http://a.org/", p) for i, p in enumerate(pages)] + [(i + 10, "http://b.org/", p) for i, p in enumerate(other)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[2] == "Title A text that three pages share, word by word." and got[11] == "Text number 1 is long and 7919 its own"
+
+
+def test_whole_articles(spark):
+    """Title and lead stand beside the largest element of an article: both stay."""
+    page = lambda i: f"<body><article><h1>T{i}</h1><div>Lead {i}</div><div class=body><p>{'long text ' * 50}{i}</p></div></article></body>"
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([(i, "http://a.org/", page(i)) for i in range(6)], "page_id long, url string, html string")).collect()}
+    assert got[3].startswith("T3 Lead 3 long text") and got[3].endswith("3")
