@@ -1,14 +1,19 @@
 """Licence scans: sparse TF-IDF cosine of statements and licence files to templates, then directory inheritance.
 
-A unit is a line of a text that has an anchor, a word that every template has one of (see ANCHORS); without one, a line has
-no licence. Its terms, weighted by count and inverse document frequency, are compared with the terms of the templates: an
-equi-join on the term, with the template side of fixed size. Document frequencies of the templates' terms count all texts;
-any other term has the greatest weight, as if no text had it. A file's own licence is that of its best unit.
+A unit is a run of up to Settings.window neighbouring segments of a text, its lines cut at sentence ends, so that a statement
+within a long line and one that is wrapped over lines are units as well. A unit's terms, weighted by count and inverse document
+frequency, are compared with the terms of the templates: an equi-join on the term, with the template side of fixed size. Document
+frequencies of the templates' terms count all texts; any other term has the greatest weight, as if no text had it. A file's own
+licence is that of its best unit.
+
+Most units are never looked at: by the Cauchy-Schwarz inequality the cosine is at most the root of the sum of a template's
+squared weights over the shared terms. Of each template the most frequent terms, whose squares together stay below the
+threshold's, can't reach it alone: a unit must have one of the others (see signs()).
 
 A file without one takes the licence of the nearest directory above it that has a licence file: the distinct directories
 are joined with their ancestors, and the deepest with a licence wins.
 
-DataFrame functions only. Aggregations are partial before the shuffle; only units with an anchor are exploded to terms,
+DataFrame functions only. Aggregations are partial before the shuffle; only units with such a term are exploded to terms,
 and only distinct directories to ancestors.
 """
 
@@ -21,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,15 +58,16 @@ TEMPLATES = (
     ("CC0-1.0", "Licensed under CC0 1.0 Universal, dedicated to the public domain."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: Every template has one of these.
-ANCHORS = "licensed license licence licenced released redistribution redistribute permission subject"
+#: Ends of sentences, at which a line is cut.
+SENTENCE = "[.!?;] +"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """threshold: least cosine of a match."""
+    """threshold: least cosine of a match. window: segments of a unit, at most."""
 
     threshold: float = 0.6
+    window: int = 4
 
 
 def terms(column):
@@ -75,34 +83,64 @@ def _template_rows() -> list[tuple[int, str, str, int]]:
     return out
 
 
-def scan(files: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """file, line, licence, score of the best unit of each row of files(file, text) that has one. file tells rows apart;
-    lines of one number of repeated files are one unit. A null text has no unit. line is counted from 1."""
+def _weights(files: DataFrame) -> DataFrame:
+    """template, licence, term, idf and t_weight (the templates' unit vectors), and the weight of unknown terms."""
     spark = files.sparkSession
     rows = _template_rows()
     vocabulary = sorted({r[2] for r in rows})
-    texts = files.filter(F.col("text").isNotNull())
-    n = files.select(F.lit(1)).count()
     have = F.array_intersect(F.array_distinct(terms(F.col("text"))), F.array(*map(F.lit, vocabulary)))
-    df = texts.select(F.explode(have).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    none = spark.createDataFrame([(v,) for v in vocabulary], "term string")
-    idf = F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    weights = none.join(df, "term", "left").select("term", idf.alias("idf"))  # a row per term of the templates
-    unknown = F.log(F.lit(n) + 1.0) + 1
-    t = spark.createDataFrame(rows, "template int, licence string, term string, n int").join(weights, "term")
-    t = t.withColumn("w", F.col("n") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))  # at most all terms of one template
-    t = t.select("template", "licence", "term", (F.col("w") / norm).alias("t_weight"))
-
-    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS.split()) + r")(?![a-z0-9])"
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
-    units = texts.filter(F.col("text").rlike(anchor)).select("file", F.explode(F.filter(lines, lambda x: x["unit"].rlike(anchor))).alias("u"))
-    found = units.select("file", "u.line", F.explode(terms(F.col("u.unit"))).alias("term")).groupBy("file", "line", "term").agg(F.count(F.lit(1)).alias("n"))
-    weighted = found.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", unknown))
-    norms = weighted.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(F.broadcast(t), "term").groupBy("file", "line", "template", "licence").agg(F.sum(F.col("w") * F.col("t_weight")).alias("dot"))
-    scored = dots.join(norms, ["file", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= s.threshold)
-    best = F.min(F.struct((-F.col("score")).alias("minus"), "line", "template", "licence")).alias("b")
+    # a row per term of the templates, and one, with the empty term, per text
+    found = files.select(F.explode(F.concat(F.array(F.lit("")), F.coalesce(have, F.expr("cast(array() as array<string>)")))).alias("term"))
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = spark.createDataFrame([(v,) for v in vocabulary], "term string").join(F.broadcast(df), "term", "left")
+    n = df.filter("term = ''").select(F.col("df").alias("n"))
+    known = known.join(F.broadcast(n), F.lit(True), "left")  # one row
+    idf = F.log((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    known = known.select("term", idf.alias("idf"), (F.log(F.coalesce("n", F.lit(0)) + 1.0) + 1).alias("unknown"))
+    t = spark.createDataFrame(rows, "template int, licence string, term string, n int").join(F.broadcast(known), "term").withColumn("w", F.col("n") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))  # the terms of one template
+    return common.settle(t.select("template", "licence", "term", "idf", "unknown", (F.col("w") / norm).alias("t_weight")).coalesce(1))
+
+
+def signs(weights: DataFrame, s: Settings) -> list[str]:
+    """Terms of which a unit must have one to match any template."""
+    rising = Window.partitionBy("template").orderBy("idf", "term")
+    below = weights.withColumn("sum", F.sum(F.col("t_weight") * F.col("t_weight")).over(rising))
+    # a little less than the threshold, since scores are rounded
+    return sorted(r.term for r in below.filter(F.col("sum") >= s.threshold**2 - 1e-4).select("term").distinct().collect())  # part of the templates' terms
+
+
+def units(texts: DataFrame, signs_: list[str], s: Settings) -> DataFrame:
+    """file, line, at and size (first segment and number of segments) and unit of texts(file, text): runs of segments, one of which
+    has one of signs_; the first line is 1."""
+    sign = F.array(*map(F.lit, signs_)) if signs_ else F.expr("cast(array() as array<string>)")
+    has = lambda text: F.arrays_overlap(terms(text), sign)
+    cut = F.transform(F.split("text", "\n", -1), lambda x, i: F.transform(F.split(x, SENTENCE, -1), lambda y: F.struct((i + 1).alias("line"), y.alias("text"))))
+    some = F.filter(F.flatten(cut), lambda x: x["text"].rlike("[A-Za-z0-9]"))
+    marked = F.transform(some, lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"), has(x["text"]).alias("hit")))
+    d = texts.filter(has(F.col("text"))).select("file", marked.alias("segments"))
+    d = d.filter(F.size("segments") > 0).select("file", "segments", F.explode(F.sequence(F.lit(1), F.size("segments"))).alias("at"))
+    d = d.select("file", "at", F.slice("segments", F.col("at"), s.window).alias("segments")).filter(F.exists("segments", lambda x: x["hit"]))
+    d = d.select("file", "at", "segments", F.explode(F.sequence(F.lit(1), F.size("segments"))).alias("size"))
+    d = d.select("file", F.col("segments")[0]["line"].alias("line"), "at", "size", F.slice("segments", F.lit(1), F.col("size")).alias("segments")).filter(F.exists("segments", lambda x: x["hit"]))
+    return d.select("file", "line", "at", "size", F.array_join(F.transform("segments", lambda x: x["text"]), " ").alias("unit"))
+
+
+def scan(files: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """file, line, licence, score of the best unit of each row of files(file, text) that has one. file tells rows apart;
+    units at one place of repeated files are one. A null text has no unit. line, of the unit's first segment, is counted from 1."""
+    weights = _weights(files)
+    known = F.broadcast(weights.select("term", "idf").distinct())  # of fixed size, as the templates
+    unknown = weights.agg(F.max("unknown").alias("unknown"))
+    found = units(files.filter(F.col("text").isNotNull()), signs(weights, s), s)
+    key = ["file", "line", "at", "size"]
+    counted = found.select(*key, F.explode(terms(F.col("unit"))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n"))
+    weighted = counted.join(known, "term", "left").join(F.broadcast(unknown), F.lit(True), "left").withColumn("w", F.col("n") * F.coalesce("idf", "unknown"))
+    per = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("own"))
+    dots = per.select(*key, "norm", F.explode("own").alias("o")).join(F.broadcast(weights.withColumnRenamed("term", "t_term")), F.col("o.term") == F.col("t_term"))
+    dots = dots.groupBy(*key, "norm", "template", "licence").agg(F.sum(F.col("o.w") * F.col("t_weight")).alias("dot"))
+    scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= s.threshold)
+    best = F.min(F.struct((-F.col("score")).alias("minus"), "at", "size", "template", "licence", "line")).alias("b")
     return scored.groupBy("file").agg(best).select("file", F.col("b.line").cast("int").alias("line"), F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))
 
 
@@ -135,7 +173,7 @@ def documents_scan(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     The table has no paths; these stand for them: directories /source/id div 1000/id div 100, one level higher for an id
     divisible by 30; the file is LICENSE-id for an id divisible by 10, id.txt for others. A null id or source counts as an
-    empty name, id 0. Repeated ids (of a source) are one file, whose lines of one number are one unit; each of their rows
+    empty name, id 0. Repeated ids (of a source) are one file, whose units at one place are one; each of their rows
     has its licence. Empty input gives an empty frame.
     """
     number = F.coalesce(F.col("doc_id"), F.lit(0))
@@ -151,10 +189,9 @@ def documents_scan(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def documents_sql(s: Settings = Settings()) -> str:
-    """DuckDB SQL with the rows of documents_scan()."""
+    """DuckDB SQL with the rows of documents_scan(), which looks at all units."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({i}, {quote(name)}, {quote(term)}, {n})" for i, name, term, n in _template_rows())
-    anchor = "(^|[^A-Za-z0-9])(" + "|".join(ANCHORS.split()) + ")([^A-Za-z0-9]|$)"
     low = f"translate(%s, '{UPPER}', '{LOWER}')"
     return f"""
     WITH t(template, licence, term, n) AS (VALUES {values}),
@@ -173,25 +210,33 @@ def documents_sql(s: Settings = Settings()) -> str:
       FROM vocabulary v LEFT JOIN have h USING (term), total GROUP BY v.term),
     tw AS (SELECT template, licence, term, t.n * idf AS w FROM t JOIN weights USING (term)),
     tn AS (SELECT template, licence, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS t_weight FROM tw),
-    cut AS (SELECT file, string_split(text, chr(10)) AS parts FROM f WHERE text IS NOT NULL),
-    lines AS (SELECT file, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS unit FROM cut),
-    units AS (SELECT file, CAST(line AS INTEGER) AS line, unit FROM lines WHERE regexp_matches(unit, '{anchor}', 'i')),
-    found AS (
-      SELECT file, line, term, count(*) AS n FROM (SELECT file, line, unnest(regexp_extract_all({low % 'unit'}, '{TERM}')) AS term FROM units) GROUP BY ALL),
+    cut AS (SELECT file, row_number() OVER () AS copy, string_split(text, chr(10)) AS parts FROM f WHERE text IS NOT NULL),
+    lines AS (SELECT file, copy, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS line_text FROM cut),
+    sentences AS (SELECT file, copy, line, string_split_regex(line_text, '{SENTENCE}') AS parts FROM lines),
+    pieces AS (SELECT file, copy, line, unnest(range(1, len(parts) + 1)) AS k, unnest(parts) AS piece FROM sentences),
+    segments AS (
+      SELECT file, copy, line, piece, row_number() OVER (PARTITION BY copy ORDER BY line, k) AS place FROM pieces WHERE regexp_matches(piece, '[A-Za-z0-9]')),
+    words AS (SELECT file, copy, line, place, unnest(regexp_extract_all({low % 'piece'}, '{TERM}')) AS term FROM segments),
+    counts AS (SELECT file, copy, place, term, count(*) AS n FROM words GROUP BY ALL),
+    wide AS (
+      SELECT s.file, s.line, s.place, z.size, c.term, c.n FROM segments s, range(1, {s.window} + 1) z(size), counts c
+      WHERE c.copy = s.copy AND c.place >= s.place AND c.place < s.place + z.size
+      AND s.place + z.size - 1 <= (SELECT max(place) FROM segments m WHERE m.copy = s.copy)),
+    found AS (SELECT file, line, place, size, term, sum(n) AS n FROM wide GROUP BY ALL),
     weighted AS (
-      SELECT file, line, term, found.n * coalesce(idf, ln(total.n + 1) + 1) AS w FROM found LEFT JOIN weights USING (term), total),
-    norms AS (SELECT file, line, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY ALL),
-    dots AS (SELECT file, line, template, licence, sum(w * t_weight) AS dot FROM weighted JOIN tn USING (term) GROUP BY ALL),
+      SELECT file, line, place, size, term, found.n * coalesce(idf, ln(total.n + 1) + 1) AS w FROM found LEFT JOIN weights USING (term), total),
+    norms AS (SELECT file, line, place, size, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY ALL),
+    dots AS (SELECT file, line, place, size, template, licence, sum(w * t_weight) AS dot FROM weighted JOIN tn USING (term) GROUP BY ALL),
     scored AS (
-      SELECT file, line, template, licence, round(dot / norm, 6) AS score FROM dots JOIN norms USING (file, line) WHERE round(dot / norm, 6) >= {s.threshold}),
+      SELECT file, line, place, size, template, licence, round(dot / norm, 6) AS score FROM dots JOIN norms USING (file, line, place, size) WHERE round(dot / norm, 6) >= {s.threshold}),
     own AS (
-      SELECT file, line, licence, score FROM scored QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, line, template) = 1),
+      SELECT file, line, licence, score FROM scored QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, place, size, template) = 1),
     given AS (
       SELECT f.directory, arg_min(own.licence, f.file) AS licence FROM f JOIN own USING (file) WHERE is_file GROUP BY f.directory),
     nearest AS (
       SELECT d.directory, arg_max(g.directory, length(g.directory)) AS from_, arg_max(g.licence, length(g.directory)) AS licence
       FROM (SELECT DISTINCT directory FROM f) d JOIN given g ON d.directory = g.directory OR starts_with(d.directory, g.directory || '/') GROUP BY d.directory)
-    SELECT f.doc_id, f.file AS path, own.licence AS own_licence, own.line AS own_line, own.score AS own_score,
+    SELECT f.doc_id, f.file AS path, own.licence AS own_licence, CAST(own.line AS INTEGER) AS own_line, own.score AS own_score,
       coalesce(own.licence, nearest.licence) AS licence, CASE WHEN own.licence IS NULL THEN nearest.from_ END AS inherited_from
     FROM f LEFT JOIN own USING (file) LEFT JOIN nearest ON f.directory = nearest.directory
     """

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
@@ -148,38 +149,56 @@ def codec_of(payload: bytes) -> str:
     return CODECS[zlib.crc32(payload) % len(CODECS)]
 
 
-def stored(docs: DataFrame, pcm: bool = True) -> DataFrame:
-    """Each text of docs(doc_id, text) as a WAVE file, read back.
+def files(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes (of the text) and media, a WAVE file of each text of docs(doc_id, text)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
-    One row per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and,
-    if pcm, media (the file) and pcm (16-bit little endian samples at twice RATE). A null text counts as empty: 64 zero
-    bytes. Other columns are left out. Empty input gives an empty frame.
-    """
-    kind = docs.schema["doc_id"].dataType
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in common.slices(texts):
+                made = [payload_of(t) for t in texts[a:b]]
+                media = [write_wave(payload, codec_of(payload)) for payload, _ in made]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([n for _, n in made], pa.int64()), pa.array(media, pa.binary())], schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def read_back(media: DataFrame) -> DataFrame:
+    """media with what its files hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and pcm (16-bit
+    little-endian samples at twice RATE). Files of a batch decode together, in slices of about 1 MB."""
     fields = [
-        T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()),
-        T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()),
-        T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()),
+        *media.schema.fields, T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
+        T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("pcm", T.BinaryType()),
     ]
-    if pcm:
-        fields += [T.StructField("media", T.BinaryType()), T.StructField("pcm", T.BinaryType())]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    given, names = [f.name for f in media.schema.fields], [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in common.slices(texts):
-                rows: list[list] = [[] for _ in fields[1:]]
-                made, sizes = [], []
-                for t in texts[a:b]:
-                    payload, n = payload_of(t)
-                    made.append(write_wave(payload, codec_of(payload)))
-                    sizes.append(n)
-                for media, n, (codec, data, samples) in zip(made, sizes, decode(made)):
+            whole = batch.column("media").to_pylist()
+            for a, b in common.slices(whole):
+                rows = []
+                for file, (codec, data, samples) in zip(whole[a:b], decode(whole[a:b])):
                     wide = resample(samples)
-                    row = [n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(codec, wide)]
-                    for out, v in zip(rows, [*row, media, wide.astype("<i2").tobytes()] if pcm else row):
-                        out.append(v)
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(r, t) for r, t in zip(rows, types))], [f.name for f in fields])
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature(codec, wide), wide.astype("<i2").tobytes()))
+                own = [batch.column(c).slice(a, b - a) for c in given]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
+        common.release()
+
+    return media.mapInArrow(run, T.StructType(fields))
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """Each text of docs(doc_id, text) as a WAVE file, stored as a table in the shared scratch folder and read from it again.
+
+    One row per row: doc_id, n_bytes, media (the file), and the columns of read_back(), pcm among them. A null text counts as
+    empty: 64 zero bytes. Other columns are left out. Empty input gives an empty frame.
+    """
+    return read_back(common.settle(files(docs)))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
+def digests(docs: DataFrame) -> DataFrame:
+    """stored() with the length and sha256 of the PCM, without the files and the PCM themselves."""
+    out = stored(docs).withColumn("pcm_bytes", F.length("pcm").cast("long")).withColumn("pcm_sha256", F.sha2("pcm", 256))
+    return out.drop("media", "pcm")

@@ -35,7 +35,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stored(table(spark, sf_dir, "documents"), pcm=False)
+    return media.digests(table(spark, sf_dir, "documents"))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

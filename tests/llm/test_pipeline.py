@@ -51,3 +51,17 @@ def test_inheritance(spark):
     got = {r.file: (r.licence, r.inherited_from) for r in licences.inherit(spark.createDataFrame(rows, "file string, directory string, is_licence_file boolean, own string")).collect()}
     assert got["/a/b/c/x"] == ("MIT", "/a") and got["/a/b/c/d/y"] == ("ISC", "/a/b/c/d") and got["/z/q"] == (None, None) and got["/ab/x"] == (None, None)
     assert got["/a/own"] == ("GPL-3.0", None) and got["/a/b/LICENSE"] == ("MIT", "/a")
+
+
+def test_licences_in_wrapped_and_long_lines(spark):
+    """A statement wrapped over lines, one within a long line, and one of rare words only."""
+    filler = " ".join(f"word{i}" for i in range(200))
+    texts = [
+        (1, f"# This work is licensed under the GNU\n# General Public License,\n# version 2.\n{filler}"), (2, f"{filler}. Released under the MIT License. {filler}"), (3, "CC0 1.0 Universal, dedicated to the public domain"),
+        (4, filler), (5, "This work is licensed under the GNU General Public\nLicense, version 3."), (6, None), (7, ""),
+    ]
+    files = spark.createDataFrame([(f"f{i}", t) for i, t in texts], "file string, text string")
+    got = {r.file: (r.licence, r.line) for r in licences.scan(files).collect()}
+    assert got == {"f1": ("GPL-2.0", 1), "f2": ("MIT", 1), "f3": ("CC0-1.0", 1), "f5": ("GPL-3.0", 1)}
+    weights = licences._weights(files)
+    assert 0 < len(licences.signs(weights, licences.Settings())) < len({t for _, _, t, _ in licences._template_rows()})
