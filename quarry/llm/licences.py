@@ -91,7 +91,7 @@ def _weights(files: DataFrame) -> DataFrame:
     have = F.array_intersect(F.array_distinct(terms(F.col("text"))), F.array(*map(F.lit, vocabulary)))
     # a row per term of the templates, and one, with the empty term, per text
     found = files.select(F.explode(F.concat(F.array(F.lit("")), F.coalesce(have, F.expr("cast(array() as array<string>)")))).alias("term"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = common.settle(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).coalesce(1))  # read twice; a row per term
     known = spark.createDataFrame([(v,) for v in vocabulary], "term string").join(F.broadcast(df), "term", "left")
     n = df.filter("term = ''").select(F.col("df").alias("n"))
     known = known.join(F.broadcast(n), F.lit(True), "left")  # one row
