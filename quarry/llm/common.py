@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,19 @@ def slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+def spans(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """slices() of a string or binary column by its bytes, without making Python values of it all at once."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n + 1
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit words (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(30))

@@ -155,9 +155,8 @@ def files(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in common.slices(texts):
-                made = [payload_of(t) for t in texts[a:b]]
+            for a, b in common.spans(batch.column("text")):
+                made = [payload_of(t) for t in batch.column("text").slice(a, b - a).to_pylist()]
                 media = [write_wave(payload, codec_of(payload)) for payload, _ in made]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([n for _, n in made], pa.int64()), pa.array(media, pa.binary())], schema.names)
 
@@ -166,7 +165,7 @@ def files(docs: DataFrame) -> DataFrame:
 
 def read_back(media: DataFrame) -> DataFrame:
     """media with what its files hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and pcm (16-bit
-    little-endian samples at twice RATE). Files of a batch decode together, in slices of about 1 MB."""
+    little-endian samples at twice RATE). Files of a batch decode together, in slices of about 256 KB."""
     fields = [
         *media.schema.fields, T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
         T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("pcm", T.BinaryType()),
@@ -176,10 +175,9 @@ def read_back(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch.column("media").to_pylist()
-            for a, b in common.slices(whole):
-                rows = []
-                for file, (codec, data, samples) in zip(whole[a:b], decode(whole[a:b])):
+            for a, b in common.spans(batch.column("media"), 1 << 18):  # a byte of it becomes dozens while it is decoded
+                rows, files_ = [], batch.column("media").slice(a, b - a).to_pylist()
+                for file, (codec, data, samples) in zip(files_, decode(files_)):
                     wide = resample(samples)
                     rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature(codec, wide), wide.astype("<i2").tobytes()))
                 own = [batch.column(c).slice(a, b - a) for c in given]
