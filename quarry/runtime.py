@@ -34,14 +34,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where that is unset (tests), in one set here."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that spark.checkpoint.dir names. Where that is unset, a local master gets a folder of its own; on a
+    cluster, whose machines share none by themselves, that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        base = kept
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
