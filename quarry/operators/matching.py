@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,18 +12,30 @@ from pyspark.sql import functions as F
 
 
 SLICE = 8 << 20
+#: Pairs that are looked up at once: small enough for a processor's cache.
+PIECE = 1 << 17
+
+
+def _nonzero(x: np.ndarray) -> np.ndarray:
+    """Places of the ones in an array of bytes 0 and 1, most of which are 0: eight at a time first."""
+    n = len(x) // 8 * 8
+    words = np.flatnonzero(x[:n].view(np.uint64))
+    rows = x[:n].reshape(-1, 8)[words]
+    at, byte = np.nonzero(rows)
+    return np.concatenate([words[at] * 8 + byte, n + np.flatnonzero(x[n:])])
 
 
 class Automaton:
     """All places of all patterns, overlapping ones and suffixes of others too; empty patterns are ignored.
 
-    Vectorised: one look-up by each pair of neighbouring bytes tells where a pattern can begin, for all patterns at once;
-    the few places left are compared byte by byte, pattern by pattern. The cost hardly depends on the number of patterns.
+    Vectorised: one look-up by each pair of neighbouring bytes, the even and the odd pairs each as an array of 16-bit numbers, tells
+    where a pattern can begin, for all patterns at once; the few places left are compared byte by byte, pattern by pattern. The
+    cost hardly depends on the number of patterns.
     """
 
     def __init__(self, patterns: Iterable[tuple[bytes, str]]) -> None:
         self.patterns = list(dict.fromkeys((p, n) for p, n in patterns if p))
-        self._pairs = np.zeros(1 << 16, np.uint16)
+        self._pairs = np.zeros(1 << 16, np.uint16)  # by the first byte and, above it, the second: little-endian
         self._groups: dict[int, list[int]] = {}
         self._single: list[int] = []
         known: dict[int, int] = {}
@@ -31,10 +43,21 @@ class Automaton:
             if len(p) == 1:
                 self._single.append(i)
                 continue
-            pair = p[0] << 8 | p[1]
+            pair = p[0] | p[1] << 8
             group = known.setdefault(pair, len(known) + 1)
             self._pairs[pair] = group
             self._groups.setdefault(group, []).append(i)
+        self._some = (self._pairs > 0).view(np.uint8)
+
+    def _begins(self, data: np.ndarray) -> np.ndarray:
+        """Places whose two bytes begin a pattern."""
+        found = []
+        for begin in (0, 1):
+            pairs = np.ascontiguousarray(data[begin : begin + (len(data) - begin) // 2 * 2]).view("<u2")
+            for a in range(0, len(pairs), PIECE):
+                hit = np.take(self._some, pairs[a : a + PIECE], mode="clip")
+                found.append(2 * (a + _nonzero(hit)) + begin)
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def places(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string, place in data, number of the pattern) in uint8 data that holds strings up to ends one after another."""
@@ -44,12 +67,8 @@ class Automaton:
             at_all.append(at)
             which.append(np.full(len(at), i))
         if self._groups and len(data) > 1:
-            pairs = data[:-1].astype(np.uint16)
-            pairs <<= 8
-            pairs |= data[1:]
-            group = self._pairs[pairs]
-            at = np.flatnonzero(group)
-            group = group[at]
+            at = self._begins(data)
+            group = self._pairs[data[at] | data[at + 1].astype(np.uint16) << 8]
             order = np.argsort(group, kind="stable")
             at, group = at[order], group[order]
             cuts = np.searchsorted(group, np.arange(len(self._groups) + 2))
@@ -78,17 +97,14 @@ class Automaton:
             yield base + int(at[k]), *self.patterns[which[k]]
 
 
-def matches(blocks: DataFrame, patterns: list[tuple[bytes, str]], keys: tuple[str, ...] = ("image",), own: str | None = None) -> DataFrame:
-    """keys, offset, extension, pattern of blocks(keys, offset, payload[, own]).
-
-    own names a column with the number of bytes that belong to the block: a match that begins beyond them is the next
-    block's. Blocks are searched in the Arrow buffers that they come in, several at a time; a null payload has no match.
-    """
-    schema = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys) + ", offset long, extension string, pattern binary"
+def _searched(blocks: DataFrame, patterns: list[tuple[bytes, str]], keys: tuple[str, ...], own: str | None, fields: str, rows_of: Callable) -> DataFrame:
+    """keys and fields of blocks(keys, offset, payload[, own]): rows_of(machine, row, place, which, offset) gives (row, columns) of the
+    matches in a stretch of blocks, which are searched in the Arrow buffers that they come in, several at a time."""
+    schema = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys) + ", " + fields
+    names = [*keys, *(f.split()[0] for f in fields.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(patterns)
-        texts, names = pa.array([p for p, _ in machine.patterns], pa.binary()), pa.array([n for _, n in machine.patterns], pa.string())
         for batch in batches:
             payload = batch.column("payload")
             payload = pa.array(payload.to_pylist(), pa.large_binary()) if payload.type not in (pa.binary(), pa.large_binary()) else payload.cast(pa.large_binary())
@@ -104,17 +120,42 @@ def matches(blocks: DataFrame, patterns: list[tuple[bytes, str]], keys: tuple[st
                 row = string + begin
                 place = at - (offsets[row] - offsets[begin])
                 keep = place < limit[row]
-                row, place, which = row[keep], place[keep], which[keep]
-                take, kind = pa.array(row), pa.array(which)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(take) for k in keys), pa.array(base[row] + place, pa.int64()), names.take(kind), texts.take(kind)], [*keys, "offset", "extension", "pattern"]
-                )
+                row, columns = rows_of(machine, row[keep], place[keep], which[keep], base)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in keys), *columns], names)
                 begin = end
 
     limit = F.col(own).cast("long") if own else F.lit(None).cast("long")
     return blocks.select(*keys, F.col("offset").cast("long").alias("offset"), F.col("payload").cast("binary").alias("payload"), limit.alias("_own")).mapInArrow(run, schema)
 
 
+def matches(blocks: DataFrame, patterns: list[tuple[bytes, str]], keys: tuple[str, ...] = ("image",), own: str | None = None) -> DataFrame:
+    """keys, offset, extension, pattern of blocks(keys, offset, payload[, own]).
+
+    own names a column with the number of bytes that belong to the block: a match that begins beyond them is the next
+    block's. A null payload has no match.
+    """
+
+    def rows_of(machine: Automaton, row: np.ndarray, place: np.ndarray, which: np.ndarray, base: np.ndarray) -> tuple:
+        texts, names = pa.array([p for p, _ in machine.patterns], pa.binary()), pa.array([n for _, n in machine.patterns], pa.string())
+        kind = pa.array(which)
+        return row, [pa.array(base[row] + place, pa.int64()), names.take(kind), texts.take(kind)]
+
+    return _searched(blocks, patterns, keys, own, "offset long, extension string, pattern binary", rows_of)
+
+
+def counts(blocks: DataFrame, patterns: list[tuple[bytes, str]], keys: tuple[str, ...] = ("image",), own: str | None = None) -> DataFrame:
+    """keys, extension, n: how many matches matches() has. They are counted where they are found; no row per match is made."""
+
+    def rows_of(machine: Automaton, row: np.ndarray, place: np.ndarray, which: np.ndarray, base: np.ndarray) -> tuple:
+        names, many = pa.array([n for _, n in machine.patterns], pa.string()), len(machine.patterns)
+        pairs, n = np.unique(row * many + which, return_counts=True)
+        return pairs // max(1, many), [names.take(pa.array(pairs % max(1, many))), pa.array(n, pa.int64())]
+
+    found = _searched(blocks, patterns, keys, own, "extension string, n long", rows_of)
+    return found.groupBy(*keys, "extension").agg(F.sum("n").alias("n"))
+
+
 def first_headers(found: DataFrame, keys: tuple[str, ...] = ("image",)) -> DataFrame:
     """One match for each offset: that of the shortest pattern, then by extension."""
     w = Window.partitionBy(*keys, "offset").orderBy(F.length("pattern"), "extension")

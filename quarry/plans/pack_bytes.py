@@ -28,8 +28,7 @@ PATTERNS = ("the", "he", "tion", "and the", "ción", "!!")
 )
 def match_multi_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("doc_id", F.expr("0L").alias("offset"), F.encode("text", "UTF-8").alias("payload"))
-    found = matching.matches(d, [(p.encode(), p) for p in PATTERNS], keys=("doc_id",))
-    return found.groupBy("doc_id", F.col("extension").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    return matching.counts(d, [(p.encode(), p) for p in PATTERNS], keys=("doc_id",)).withColumnRenamed("extension", "pattern")
 
 
 @query(
