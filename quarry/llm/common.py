@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.runtime import ship
+from quarry.runtime import scratch, settle, ship
 
 #: Bytes of text that the vectorised operators hold in numpy arrays at once (one longer text makes a slice of its own).
 SLICE_BYTES = 1 << 20
@@ -32,25 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where that is unset (tests), in one set here."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        base = kept
-    return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared scratch folder and read back: the lineage ends there, and every executor sees the files."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unused(name: str, *taken: Iterable[str]) -> str:
     """name, with underscores before it until none of the taken column names equals it (case is ignored)."""
     have = {c.lower() for names in taken for c in names}
