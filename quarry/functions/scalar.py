@@ -164,8 +164,48 @@ def domain_path(domain: Column | str, relative: Column | str) -> Column:
     return F.concat_ws("/", top, F.when(F.coalesce(r, F.lit("")) != "", r))
 
 
-def mount_scheme(url: Column | str) -> Column:
-    """smb, nfs, webdav, afp or sftp for a remote address; null for anything else."""
-    s = F.lower(F.regexp_extract(c(url), r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
-    unc = c(url).startswith("\\\\")
-    return cases([(unc | s.isin("smb", "cifs"), F.lit("smb")), (s == "nfs", F.lit("nfs")), (s.isin("dav", "davs", "webdav", "http", "https"), F.lit("webdav")), (s == "afp", F.lit("afp")), (s.isin("sftp", "ssh"), F.lit("sftp"))])
+#: Schemes of remote addresses, and ways to mount an image that lies behind one: method and system.
+REMOTE = ("smb", "cifs", "nfs", "iscsi", "http", "https", "ftp")
+MOUNTS = {
+    "smb": (("macOS Finder", "darwin"), ("Linux mount", "linux"), ("Windows Explorer", "windows")),
+    "nfs": (("Linux mount", "linux"),),
+    "iscsi": (("iSCSI initiator", "any"),),
+}
+
+
+def _scheme(url: Column | str) -> Column:
+    return F.regexp_extract(c(url), r"^([a-z]+)://", 1)
+
+
+def is_remote(url: Column | str) -> Column:
+    return F.coalesce(_scheme(url).isin(*REMOTE), F.lit(False))
+
+
+def mount_advice(url: Column | str) -> Column:
+    """An array of (method, system) by which an address can be mounted; empty for others. cifs is another name of smb."""
+    s = F.regexp_replace(_scheme(url), "^cifs$", "smb")
+    ways = lambda rows: F.array(*[F.struct(F.lit(m).alias("method"), F.lit(o).alias("system")) for m, o in rows])
+    return cases([(s == k, ways(rows)) for k, rows in MOUNTS.items()], F.expr("cast(array() as array<struct<method:string,system:string>>)"))
+
+
+def byte_units(size: Column | str) -> Column:
+    """Bytes with one decimal of a 1024-based unit, as the progress of an image dump shows them."""
+    n = c(size).cast("long")
+    tiers = [(n >= 1024**i, F.concat(F.format_string("%.1f", n / float(1024**i)), F.lit(f" {unit}B"))) for i, unit in reversed(list(enumerate("KMGTPE", 1)))]
+    return cases(tiers, F.concat(n.cast("string"), F.lit(" B")))
+
+
+def speed(done: Column, seconds: Column) -> Column:
+    """Whole bytes a second; 0 in the first tenth of a second."""
+    return F.when(seconds > 0.1, F.floor(done / seconds)).otherwise(0).cast("long")
+
+
+def eta(done: Column, whole: Column, per_second: Column) -> Column:
+    """The time that is left, as text; ... while nothing is known of the speed."""
+    left = F.greatest(whole - done, F.lit(0)) / per_second
+    return F.when(per_second > 0, format_duration(left)).otherwise("...")
+
+
+def percent_of(done: Column, whole: Column) -> Column:
+    """Percent, from 0 to 100."""
+    return F.when(whole > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), done * 100.0 / whole))).otherwise(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,11 @@ def directory_sizes(files: DataFrame, path: str, size: str, depth: int) -> DataF
     up = F.transform(F.sequence(F.greatest(F.size("parts") - depth, F.lit(1)), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", F.lit(1), i), "/"))
     some = files.withColumn("parts", parts).filter(F.size("parts") > 1)
     return some.select(F.explode(up).alias("directory"), F.col(size).alias("_size")).groupBy("directory").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("files"))
+
+
+def findings_by_file(findings: DataFrame, file: str = "file", line: str = "line", rule: str = "rule", most: int = 100) -> DataFrame:
+    """A row per file: findings, rules (distinct), and the first `most` of them by line, for display. What is listed is bounded: a
+    file's findings are numbered before they are gathered."""
+    n = F.row_number().over(Window.partitionBy(file).orderBy(line, rule))
+    head = findings.withColumn("_n", n).filter(F.col("_n") <= most).groupBy(file).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line, rule))), lambda x: F.concat_ws(":", x[line].cast("string"), x[rule])), " ").alias("first"))
+    return findings.groupBy(file).agg(F.count(F.lit(1)).alias("findings"), F.count_distinct(rule).alias("rules")).join(head, file)

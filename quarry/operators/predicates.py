@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.runtime import settle
+
 #: Extensions and path prefixes of system files.
 SYSTEM_EXTENSIONS = "exe dll sys drv ocx cpl efi scr ico cur ani manifest mui nls msi msp mst cat inf reg elf so bin dat pack idx".split()
 SYSTEM_PREFIXES = ("windows/", "winnt/", "program files", "programdata/", "$recycle.bin/", "system volume information/", "boot/", "perflogs/", "recovery/")
@@ -152,3 +154,19 @@ def state_tab(tab: str, state: str = "state") -> Column:
 def shares_disk(a: str, b: str) -> Column:
     """Whether two arrays of disks overlap: recovering onto the source is refused."""
     return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+
+
+def within_caps(entries: DataFrame, order: list[str], depth: str = "depth", size: str = "size", most: int | None = None, most_bytes: int | None = None, most_depth: int | None = None) -> DataFrame:
+    """The entries of a walk that its caps leave, in order: none below most_depth, most of them, and as many as fit in most_bytes.
+    The caps are the caller's feature; without them nothing is cut. Of most, only the first ones are sorted on one task."""
+    out = entries.filter(F.col(depth) <= most_depth) if most_depth is not None else entries
+    out = out.orderBy(*order).limit(most) if most is not None else out
+    if most_bytes is None:
+        return out
+    # totals of ranges first, so that no task sums all
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(out.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.sum(size).alias("_sum"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
+    inner = F.sum(size).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(F.broadcast(before), "_part").withColumn("_sum", inner + F.col("_before")).filter(F.col("_sum") <= most_bytes).drop("_part", "_before", "_sum")

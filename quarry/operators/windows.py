@@ -81,3 +81,9 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: Column | int) -> DataF
 def page(df: DataFrame, order: list, number: int, size: int = 200) -> DataFrame:
     """Page `number`, from 1, of the sorted rows."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def read_order(rows: DataFrame, offset: str = "offset", parts: int | None = None) -> DataFrame:
+    """Rows in ranges of offset, sorted within each: reading by it goes forward only."""
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, offset).sortWithinPartitions(offset)

@@ -462,3 +462,70 @@ def fn_recoverability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("score_tier", f"WITH {FILES_SQL} SELECT id, {_TIER} AS tier, {_SCORE} AS score FROM files")
 def score_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("id", scalar.confidence_tier("confidence", "isValid").alias("tier"), scalar.recovery_score("confidence", "isValid").alias("score"))
+
+
+@query(
+    "fn_progress",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity * l_partkey AS done, l_linenumber * 0.09 AS sec FROM lineitem), v AS (SELECT *, CASE WHEN sec > 0.1 THEN CAST(floor(done / sec) AS BIGINT) ELSE 0 END AS speed FROM p),
+    e AS (SELECT *, CASE WHEN speed > 0 THEN greatest(1000000 - done, 0) / speed END AS s FROM v)
+    SELECT l_orderkey, l_linenumber, speed, greatest(0, least(100, done * 100 / 1000000)) AS percent, CASE WHEN s IS NULL THEN '...'
+      WHEN s < 60 THEN concat(CAST(CAST(round(s * 10) AS BIGINT) // 10 AS STRING), '.', CAST(CAST(round(s * 10) AS BIGINT) % 10 AS STRING), ' s')
+      WHEN s < 3600 THEN concat(CAST(CAST(floor(s) AS BIGINT) // 60 AS STRING), ' min ', CAST(CAST(floor(s) AS BIGINT) % 60 AS STRING), ' s')
+      ELSE concat(CAST(CAST(floor(s) AS BIGINT) // 3600 AS STRING), ' h ', CAST(CAST(floor(s) AS BIGINT) % 3600 // 60 AS STRING), ' min') END AS eta FROM e""",
+)
+def fn_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * F.col("l_partkey")).alias("done"), (F.col("l_linenumber") * F.lit(0.09)).alias("sec"))
+    d = d.withColumn("speed", scalar.speed(F.col("done"), F.col("sec")))
+    whole = F.lit(1_000_000.0)
+    return d.select("l_orderkey", "l_linenumber", "speed", scalar.percent_of(F.col("done"), whole).alias("percent"), scalar.eta(F.col("done"), whole, F.col("speed")).alias("eta"))
+
+
+@query(
+    "fn_byte_units",
+    """SELECT o_orderkey, CASE WHEN n < 1024 THEN concat(CAST(n AS STRING), ' B') WHEN n < 1048576 THEN concat(printf('%.1f', n / 1024.0::DOUBLE), ' KB') WHEN n < 1073741824 THEN concat(printf('%.1f', n / 1048576.0::DOUBLE), ' MB')
+      ELSE concat(printf('%.1f', n / 1073741824.0::DOUBLE), ' GB') END AS text FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * o_orderkey * 3 AS n FROM orders)""",
+)
+def fn_byte_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select("o_orderkey", scalar.byte_units(F.col("o_orderkey").cast("long") * F.col("o_orderkey") * 3).alias("text"))
+
+
+@query(
+    "fn_mount_advice",
+    """WITH u AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'smb' WHEN 1 THEN 'cifs' WHEN 2 THEN 'nfs' WHEN 3 THEN 'iscsi' WHEN 4 THEN 'https' ELSE 'file' END AS k FROM documents)
+    SELECT doc_id, k <> 'file' AS remote, CASE WHEN k IN ('smb', 'cifs') THEN 3 WHEN k IN ('nfs', 'iscsi') THEN 1 ELSE 0 END AS ways FROM u""",
+)
+def fn_mount_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("smb", "cifs", "nfs", "iscsi", "https", "file"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    d = load(spark, sf_dir, "documents").withColumn("url", F.concat(kind, F.lit("://host/"), F.col("source")))
+    return d.select("doc_id", scalar.is_remote("url").alias("remote"), F.size(scalar.mount_advice("url")).alias("ways"))
+
+
+@query(
+    "dedup_entries",
+    "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) = 1",
+)
+def dedup_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First entry per object and name."""
+    d = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    return joins.first_by(d, ["l_partkey", "l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber")])
+
+
+@query(
+    "agg_findings",
+    """WITH n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations),
+    h AS (SELECT conv_id, string_agg(concat(CAST(turn AS STRING), ':', role), ' ' ORDER BY n) AS first FROM n WHERE n <= 3 GROUP BY conv_id)
+    SELECT conv_id AS file, count(*) AS findings, count(DISTINCT role) AS rules, any_value(first) AS first FROM conversations JOIN h USING (conv_id) GROUP BY conv_id""",
+)
+def agg_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), F.col("role").alias("rule"))
+    return aggregates.findings_by_file(d, most=3)
+
+
+@query(
+    "filter_caps",
+    """WITH c AS (SELECT doc_id, n_chars, doc_id % 7 AS depth FROM documents WHERE doc_id % 7 <= 4 ORDER BY doc_id LIMIT 500), s AS (SELECT *, sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM c)
+    SELECT doc_id, n_chars, depth FROM s WHERE total <= 100000""",
+)
+def filter_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 7).alias("depth"))
+    return predicates.within_caps(d, ["doc_id"], size="n_chars", most=500, most_bytes=100_000, most_depth=4)

@@ -62,11 +62,13 @@ def custody(files: DataFrame) -> DataFrame:
     return files.select("path", digest.alias("sha256"), F.col("size").cast("long").alias("size"))
 
 
-def custody_digest(rows: DataFrame, buckets: int = 256) -> DataFrame:
-    """One row: sha256 over the buckets' digests; a bucket, by hash of the path, is hashed over its sorted lines."""
+def custody_digest(rows: DataFrame, per_bucket: int = 10_000) -> DataFrame:
+    """One row: sha256 over the buckets' digests, and the number of buckets; a bucket, by hash of the path, has about per_bucket files
+    and is hashed over its lines in order of path, so that no task holds the list. The same rows give the same digest."""
+    buckets = max(1, -(-rows.count() // per_bucket))
     line = F.concat_ws("|", "path", "sha256", F.col("size").cast("string"))
-    b = rows.select(F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("b"), line.alias("line"))
-    per = b.groupBy("b").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("line"))), 256).alias("d"))
+    b = rows.select(F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("b"), "path", line.alias("line"))
+    per = b.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), "\n"), 256).alias("d"))
     return per.agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])), 256).alias("digest"), F.count(F.lit(1)).alias("buckets"))
 
 

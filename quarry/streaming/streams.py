@@ -65,6 +65,29 @@ def batched(stream: DataFrame, key: str, order: list[str], size: int = 200) -> D
     return stream.groupBy(key).applyInPandasWithState(run, schema, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def flushed(stream: DataFrame, key: str, order: list[str], time: str, size: int = 200, millis: int = 100) -> DataFrame:
+    """Rows with batch, of a batcher that is looked at whenever a row comes: a batch ends with the row that makes it size rows, or
+    that comes millis or more after the last end (at first, after the first row). State: batch, its rows, the last end."""
+    names = stream.columns
+    schema = ", ".join([_typed(stream.schema, n) for n in names] + ["batch long"])
+
+    def run(_: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch, held, last = state.get if state.exists else (1, 0, None)
+        pdf = pd.concat(list(pdfs)).sort_values(order, kind="stable")
+        out = []
+        for t in (pdf[time].astype("datetime64[us]").astype("int64") // 1000).tolist():
+            last = t if last is None else last
+            out.append(batch)
+            held += 1
+            if held >= size or t - last >= millis:
+                batch, held, last = batch + 1, 0, t
+        state.update((batch, held, last))
+        pdf["batch"] = out
+        yield pdf
+
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "batch long, held long, last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def heartbeat(stream: DataFrame, key: str, order: list[str], time: str, amount: str, limit: float, count: int) -> DataFrame:
     """Rows with speed (change of amount per second; a gap of up to 0.1 s keeps the last) and alarm: once per key, where count
     speeds in a row are below limit; a speed of zero neither counts nor resets. State: the last sample, run and alarm."""
