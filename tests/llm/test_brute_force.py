@@ -492,3 +492,13 @@ def test_whole_articles(spark):
     page = lambda i: f"<body><article><h1>T{i}</h1><div>Lead {i}</div><div class=body><p>{'long text ' * 50}{i}</p></div></article></body>"
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([(i, "http://a.org/", page(i)) for i in range(6)], "page_id long, url string, html string")).collect()}
     assert got[3].startswith("T3 Lead 3 long text") and got[3].endswith("3")
+
+
+def test_probes_follow_the_vectors():
+    """Vectors in tight clusters need few cells, isotropic ones most."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 16))
+    middle /= np.linalg.norm(middle, axis=1)[:, None]
+    tight = np.repeat(middle, 50, axis=0) + rng.normal(size=(2000, 16)) * 0.02
+    shares = [ann.fit(x, 2000, ann.Settings(parts=4, codes=16)).probes for x in (tight, rng.normal(size=(2000, 16)))]
+    assert shares[0] < 0.2 < shares[1] <= 1
