@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.matching import Automaton
+from quarry.operators.windows import numbered_ranges
 from quarry.runtime import settle
 from quarry.schema import as_files
 from quarry.sources import signatures
@@ -533,10 +534,7 @@ def carve(blocks: DataFrame, step: int | None = None, windows: tuple[int, ...] =
 
 def as_catalogue(carved: DataFrame) -> DataFrame:
     """Carved rows as files; names count up within an extension by image and offset."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("extension").orderBy("image", "offset"))
-    d = carved.withColumn("n", n)
+    d = numbered_ranges(carved, ["extension"], ["image", "offset"], "n")
     return as_files(
         d, id=F.concat(F.lit("carve_"), F.col("image"), F.lit("_"), F.col("offset").cast("string")), source=F.lit("carver"), fileName=F.concat(F.col("extension"), F.lit("_"), F.lpad(F.col("n").cast("string"), 5, "0"), F.lit("."), F.col("extension")),
         extension="extension", category="category", size="size", offset="offset", confidence="confidence", isDeleted=F.lit(True),

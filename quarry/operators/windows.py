@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.runtime import settle
+
 
 def numbered(df: DataFrame, keys: list[str], order: list, name: str = "seq") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
+def numbered_ranges(df: DataFrame, keys: list[str], order: list, name: str = "seq") -> DataFrame:
+    """numbered() for keys of which one may hold any share of the rows: rows are dealt out in ranges of (keys, order), numbered within
+    each, and each range of a key begins where the ranges before it end. No task sorts a whole key. order names columns of df,
+    or expressions of them."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))  # a row for each key, and one more for each range
+    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("_part").alias("_range"), *[F.col(k).alias(f"_key_{k}") for k in keys], F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    own = ranged.withColumn("_in", inner)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], F.col("_part") == F.col("_range"))
+    return own.join(before, same).withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).select(*df.columns, name)
+
+
 def batches(df: DataFrame, keys: list[str], order: list, size: int = 500, name: str = "batch") -> DataFrame:
     """Batch number, from 1, of size rows each."""
     out = numbered(df, keys, order, "_seq")
@@ -68,10 +87,16 @@ def phase_percent(df: DataFrame, phases: DataFrame, keys: list[str], order: list
 
 
 def throttled(df: DataFrame, order: list, every: int = 500, keys: tuple[str, ...] = ()) -> DataFrame:
-    """First, last, and each every-th row."""
-    part = Window.partitionBy(*keys)
-    d = df.withColumn("_n", F.row_number().over(part.orderBy(*order))).withColumn("_all", F.count(F.lit(1)).over(part))
-    return d.filter((F.col("_n") == 1) | (F.col("_n") == F.col("_all")) | (F.col("_n") % every == 0)).drop("_n", "_all")
+    """First, last, and each every-th row of a key; one may hold any share of the rows."""
+    one = df if keys else df.withColumn("_one", F.lit(0))
+    names = [*keys] or ["_one"]
+    d = numbered_ranges(one, names, order, "_nth")
+    last = d.groupBy(*[F.col(k).alias(f"_last_{k}") for k in names]).agg(F.max("_nth").alias("_all"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_last_{k}")) for k in names])
+    # rows that can be the last of a key are few: most are left out before the join
+    some = d.filter((F.col("_nth") == 1) | (F.col("_nth") % every == 0)).select(*df.columns)
+    ends = d.join(last, same & (F.col("_nth") == F.col("_all"))).filter((F.col("_nth") != 1) & (F.col("_nth") % every != 0)).select(*df.columns)
+    return some.unionByName(ends)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: Column | int) -> DataFrame:

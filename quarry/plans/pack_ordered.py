@@ -53,12 +53,12 @@ def sort_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sort_source_priority", f"WITH {FILES_SQL} SELECT id, row_number() OVER (PARTITION BY category ORDER BY source <> 'ntfs', seq) AS place FROM files")
 def sort_source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.numbered(files(spark, sf_dir), ["category"], [F.col("source") != "ntfs", "seq"], "place").select("id", "place")
+    return windows.numbered_ranges(files(spark, sf_dir).select("id", "category", "source", "seq"), ["category"], [F.col("source") != "ntfs", "seq"], "place").select("id", "place")
 
 
 @query("win_seq_ext", f"WITH {FILES_SQL} SELECT id, extension, row_number() OVER (PARTITION BY extension ORDER BY \"offset\") AS seq FROM files")
 def win_seq_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.numbered(files(spark, sf_dir).select("id", "extension", "offset"), ["extension"], ["offset"]).select("id", "extension", "seq")
+    return windows.numbered_ranges(files(spark, sf_dir).select("id", "extension", "offset"), ["extension"], ["offset"]).select("id", "extension", "seq")
 
 
 @query(

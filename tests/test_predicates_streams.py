@@ -127,3 +127,13 @@ def test_read_order_and_caps(spark):
     e = spark.createDataFrame([(i, i % 3, 10) for i in range(50)], "id long, depth int, size long")
     assert [r.id for r in predicates.within_caps(e, ["id"], most_bytes=95, most_depth=1).orderBy("id").collect()] == [0, 1, 3, 4, 6, 7, 9, 10, 12]
     assert predicates.within_caps(e, ["id"]).count() == 50
+
+
+def test_numbers_in_ranges_equal_a_window(spark):
+    from quarry.operators import windows
+
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", (i * 7919) % 1000, i) for i in range(1000)]
+    d = spark.createDataFrame(rows, "k string, o long, id long")
+    for order in (["o"], [F.desc("o")], [F.col("o") % 2 == 0, "o"]):
+        a, b = (sorted(map(str, f(d, ["k"], order).collect())) for f in (windows.numbered, windows.numbered_ranges))
+        assert a == b
