@@ -248,6 +248,31 @@ def test_small_hot_groups_lose_no_near_copies(spark):
     assert [got[i] for i in range(len(texts))] == plain_similar(texts)
 
 
+@pytest.mark.parametrize("tile, tile_shingles", [(4, 1 << 20), (1024, 600), (1024, 1 << 20)])
+def test_cells_of_any_size_lose_no_links(spark, tile, tile_shingles):
+    """A family whose members are about as similar as the threshold: most are linked, the others meet in many small cells."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.choice((1, 2, 3, 4, 6, 9))):
+            copy[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    want = plain_similar(texts)
+    assert 20 < len(set(want)) < 110
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.grouped(rows, dataclasses.replace(simhash.WIDE, tile=tile, tile_shingles=tile_shingles)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_rows_without_ids_stay_only_alone(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, words("a")), (None, words("a")), (None, words("b")), (None, words("b")), (5, words("c")), (5, words("d")), (None, None), (7, None)]
+    got = sorted((str(r.doc_id), r.text or "") for r in simhash.kept(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", words("a")), ("None", words("b")), ("5", words("c")), ("5", words("d")), ("7", "")])
+
+
 # ---- media
 
 
