@@ -639,6 +639,67 @@ def btrfs_files(blocks: DataFrame, volumes: DataFrame, step: int) -> DataFrame:
     return _with_paths(names, rows.filter("kind = 1").select("image", "start", "inode", "directory", "size", "modified"), runs, 0)
 
 
+# ---- F2FS
+
+
+@_safe
+def f2fs_superblock(b: bytes) -> dict | None:
+    if _u(b, 0, "I") != 0xF2F52010 or _u(b, 16, "I") != 12:
+        return None
+    return {"nat": _u(b, 84, "I"), "segments": _u(b, 60, "I"), "root": _u(b, 96, "I"), "blocks": _u(b, 36, "Q")}
+
+
+@_safe
+def f2fs_addresses(block: bytes) -> list[dict]:
+    """Entries of a block of the address table that lead to a block: place in the table's block, inode, address."""
+    out = []
+    for i in range(455):
+        inode, address = struct.unpack_from("<II", block, 9 * i + 1)
+        if inode and address not in (0, 0xFFFFFFFF):
+            out.append({"place": i, "owner": inode, "address": address})
+    return out
+
+
+@_safe
+def f2fs_inode(b: bytes) -> dict | None:
+    """An inode's block: its number stands twice in the footer; with its name, parent and direct blocks."""
+    node, owner = struct.unpack_from("<II", b, 4072)
+    mode = _u(b, 0, "H")
+    if not node or node != owner or not mode:
+        return None
+    blocks = [] if b[3] & 0x0A else [{"logical": i, "physical": x, "length": 1} for i, x in enumerate(struct.unpack_from("<923I", b, 360)) if x and x != 0xFFFFFFFF]
+    runs: list[dict] = []
+    for r in blocks:  # neighbours become one run
+        if runs and r["logical"] == runs[-1]["logical"] + runs[-1]["length"] and r["physical"] == runs[-1]["physical"] + runs[-1]["length"]:
+            runs[-1]["length"] += 1
+        else:
+            runs.append(r)
+    return {
+        "inode": node, "directory": mode & 0xF000 == 0x4000, "size": _u(b, 16, "Q"), "modified": unix_time(_u(b, 48, "Q")), "parent": _u(b, 84, "I"),
+        "name": b[92 : 92 + min(255, _u(b, 88, "I"))].decode("utf-8", "replace"), "runs": runs,
+    }
+
+
+def f2fs_files(blocks: DataFrame, volumes: DataFrame, step: int) -> DataFrame:
+    """Files and directories of F2FS volumes(image, start): image, start, inode, path, name, directory, size, modified, runs (direct blocks
+    only; none for data within the inode). The first copy of the address table tells where each inode lies; names and parents
+    stand in the inodes."""
+    heads = read_ranges(blocks, volumes.select("image", "start", (F.col("start") + 1024).alias("at"), F.lit(512).alias("size")), step)
+    vol = settle(parsed(heads, f2fs_superblock, "nat long, segments long, root long, blocks long", ("image", "start")))
+    # segments of the table come in pairs, of which the first is read: 512 blocks each
+    each = vol.withColumn("n", F.explode(F.expr("sequence(0L, greatest(1L, segments div 2) * 512 - 1)")))
+    place = F.col("nat") + F.expr("(n div 512) * 1024 + n % 512")
+    table = read_ranges(blocks, each.select("image", "start", "n", "blocks", (F.col("start") + place * 4096).alias("at"), F.lit(4096).alias("size")), step)
+    found = parsed(table, f2fs_addresses, "place long, owner long, address long", ("image", "start", "n", "blocks"))
+    own = found.filter((F.col("n") * 455 + F.col("place") == F.col("owner")) & (F.col("address") < F.col("blocks")))
+    nodes = read_ranges(blocks, own.select("image", "start", "owner", (F.col("start") + F.col("address") * 4096).alias("at"), F.lit(4096).alias("size")), step)
+    rows = settle(parsed(nodes, f2fs_inode, f"inode long, directory boolean, size long, modified timestamp_ntz, parent long, name string, runs {RUNS}", ("image", "start", "owner")).filter("inode = owner"))
+    rows = rows.join(vol.select("image", "start", "root"), ["image", "start"])
+    names = rows.filter("inode <> root").select("image", "start", F.when(F.col("parent") == F.col("root"), 0).otherwise(F.col("parent")).alias("parent"), F.col("inode").alias("child"), "name")
+    runs = rows.select("image", "start", "inode", F.explode("runs").alias("r")).select("image", "start", "inode", "r.*")
+    return _with_paths(names, rows, runs, 0)
+
+
 # ---- ZFS
 
 

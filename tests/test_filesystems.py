@@ -303,6 +303,38 @@ def test_btrfs_keeps_the_latest_leaf(spark):
     assert fs.btrfs_superblock(bytes(sb))["chunks"] == [{"logical": 1 << 20, "length": 1 << 22, "physical": 1 << 20}]
 
 
+def test_f2fs(spark):
+    size = 4096
+    b = bytearray(size * 1100)
+    sb = bytearray(512)
+    put(sb, 0, struct.pack("<I", 0xF2F52010))
+    put(sb, 16, struct.pack("<I", 12))
+    put(sb, 36, struct.pack("<Q", 1100))
+    put(sb, 60, struct.pack("<I", 2))
+    put(sb, 84, struct.pack("<IIII", 4, 0, 0, 3))
+    put(b, 1024, sb)
+
+    def node(number, mode, parent, name, nbytes, blocks, where, inline=0):
+        n = bytearray(size)
+        put(n, 0, struct.pack("<HBB", mode, 0, inline))
+        put(n, 16, struct.pack("<Q", nbytes))
+        put(n, 48, struct.pack("<Q", 1_700_000_000))
+        put(n, 84, struct.pack("<II", parent, len(name)) + name.encode())
+        put(n, 360, struct.pack(f"<{len(blocks)}I", *blocks))
+        put(n, 4072, struct.pack("<II", number, number))
+        put(b, where * size, n)
+        put(b, (4 + number // 455) * size + 9 * (number % 455) + 1, struct.pack("<II", number, where))
+
+    node(3, 0x41ED, 3, "", 4096, [90], 60)
+    node(4, 0x41ED, 3, "DCIM", 4096, [91], 61)
+    node(460, 0x81A4, 4, "a.jpg", 5 * 4096, [100, 101, 102, 0, 110], 62)
+    node(5, 0x81A4, 3, "in.txt", 3, [7, 7], 63, 2)
+    put(b, 4 * size + 9 * 6 + 1, struct.pack("<II", 5, 64))  # a node of another inode
+    rows = paths(fs.f2fs_files(*volume(spark, bytes(b), 10_000)).collect())
+    assert set(rows) == {"DCIM", "DCIM/a.jpg", "in.txt"} and rows["in.txt"].runs is None
+    assert [tuple(x) for x in rows["DCIM/a.jpg"].runs] == [(0, 100, 3), (4, 110, 1)] and rows["DCIM"].directory
+
+
 def test_zfs_objects():
     d = bytearray(512)
     put(d, 0, struct.pack("<8BHHI Q", 19, 17, 1, 1, 44, 7, 15, 0, 2, 64, 0, 3))
@@ -326,6 +358,6 @@ def test_backup_manifest(spark):
 def test_parsers_never_raise(data, head):
     for parse in (
         fs.exfat_boot, fs.exfat_directory, fs.ext_inode, fs.ext_directory, fs.hfs_header, fs.hfs_records, fs.hfs_catalog, fs.hfs_overflow, fs.apfs_records, fs.apfs_omap, fs.apfs_fs,
-        fs.xfs_superblock, fs.xfs_inode, fs.btrfs_superblock, fs.btrfs_items, fs.zfs_dnode, fs.zfs_micro_directory,
+        fs.xfs_superblock, fs.xfs_inode, fs.btrfs_superblock, fs.btrfs_items, fs.zfs_dnode, fs.zfs_micro_directory, fs.f2fs_superblock, fs.f2fs_addresses, fs.f2fs_inode,
     ):
         parse(head + data)
