@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from quarry.plans import pack_bytes, pack_catalogue, pack_ordered, pack_streams  # noqa: E402, F401  they register their queries
+from quarry.plans import pack_bytes, pack_catalogue, pack_ordered, pack_sources, pack_streams  # noqa: E402, F401  they register their queries
