@@ -5,7 +5,8 @@
 2. Global distinct-word shuffle: the words of all chunks meet by a hash of the word, packed (one row for each chunk and
    hash bucket), and each distinct word of a bucket is encoded once by merging byte pairs by rank.
 3. The ids go back to their chunks in a join on the chunk, and each text is put together again by position.
-4. Decoding joins ids with the token-byte table, which all executors have: its size is that of the vocabulary.
+4. Decoding joins the ids of a chunk's distinct words with the token-byte table by id. All executors have the table, whose size is
+   that of the vocabulary and whose rows stand at their ids, so that the join is one gather; words' bytes are slices of its result.
 
 Only distinct words of chunks and their ids are shuffled, with the numbers of the words: no row per word. A frequent word
 comes once from a chunk, so that no bucket is hot. Memory in a task: one chunk, or the distinct words of one bucket.
@@ -228,6 +229,10 @@ def encode(docs: DataFrame, s: Settings | None = None, ids: bool = True, digests
     spark = docs.sparkSession
     ranks = read_ranks(s.path)
     shared = spark.sparkContext.broadcast(ranks)  # of fixed size: the vocabulary
+    at_id: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        at_id[i] = token
+    table = spark.sparkContext.broadcast(pa.array(at_id, pa.binary()))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = _settled_by_chunk(_split(docs, s, buckets), buckets)
     coded = both.filter("bucket = -1").select("chunk", "blob", "ids")
@@ -241,7 +246,6 @@ def encode(docs: DataFrame, s: Settings | None = None, ids: bool = True, digests
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         common.release()  # what the chunk before this held
-        table = {i: token for token, i in shared.value.items()}
         flat_parts, count_parts = [], []
         for _, blob in sorted(zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist())):
             raw = _unpack(blob)
@@ -257,7 +261,10 @@ def encode(docs: DataFrame, s: Settings | None = None, ids: bool = True, digests
         keys = left.column("ids").combine_chunks().flatten()
         if digests:
             said = [",".join(map(str, pieces[a:b])).encode() for a, b in spans]
-            decoded = [b"".join([table[i] for i in pieces[a:b]]) for a, b in spans]
+            joined = table.value.take(pa.array(flat))
+            places = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1, 4 * joined.offset) if len(joined) else np.zeros(1, np.int32)
+            whole = joined.buffers()[2].to_pybytes() if len(joined) else b""
+            decoded = [whole[a:b] for a, b in zip(places[ends - lengths].tolist(), places[ends].tolist())]
         for blob in left.column("blob").to_pylist():
             raw = _unpack(blob)
             n = len(keys)
