@@ -15,6 +15,8 @@ from quarry.plans.tables import load
 from quarry.runtime import settle
 from quarry.sources import blocks, volumes
 
+#: Bytes of patterns that a task holds.
+PATTERN_BYTES = 32 << 20
 PATTERNS = ("the", "he", "tion", "and the", "ción", "!!")
 
 
@@ -52,10 +54,16 @@ def match_last_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, item_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)",
 )
 def join_contains_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("part")).collect()  # a list of known passages, one pattern each
-    patterns = [(r.part.encode(), str(r.item_id)) for r in items if r.part]
+    items = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("part")).filter("part <> ''")
     d = load(spark, sf_dir, "documents").select("doc_id", F.expr("0L").alias("offset"), F.encode("text", "UTF-8").alias("payload"))
-    return matching.matches(d, patterns, keys=("doc_id",)).select("doc_id", F.col("extension").cast("long").alias("item_id")).distinct()
+    # the passages become patterns of the search, as many at a time as PATTERN_BYTES holds
+    size = items.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0)).alias("n")).first().n
+    slices = max(1, -(-size // PATTERN_BYTES))
+    found = []
+    for i in range(slices):
+        some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i).collect()
+        found.append(matching.matches(d, [(r.part.encode(), str(r.item_id)) for r in some], keys=("doc_id",)).select("doc_id", F.col("extension").cast("long").alias("item_id")))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 @query("filter_ocr_keyword", "SELECT item_id FROM benchmark WHERE contains(lower(trim(text)), 'tion')")
