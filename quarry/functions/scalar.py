@@ -188,10 +188,19 @@ def mount_advice(url: Column | str) -> Column:
     return cases([(s == k, ways(rows)) for k, rows in MOUNTS.items()], F.expr("cast(array() as array<struct<method:string,system:string>>)"))
 
 
-def byte_units(size: Column | str) -> Column:
-    """Bytes with one decimal of a 1024-based unit, as the progress of an image dump shows them."""
+def byte_units(size: Column | str, letters: str = "KMGTPE") -> Column:
+    """Bytes with one decimal of a 1024-based unit, as the progress of an image dump shows them; ties go to the even digit, as
+    in printf. The last of the letters serves all larger sizes."""
     n = c(size).cast("long")
-    tiers = [(n >= 1024**i, F.concat(F.format_string("%.1f", n / float(1024**i)), F.lit(f" {unit}B"))) for i, unit in reversed(list(enumerate("KMGTPE", 1)))]
+    tiers = []
+    for i, letter in reversed(list(enumerate(letters, 1))):
+        x = n / F.lit(float(1024**i))
+        # a double of 1 or more is a whole number and a multiple of 2 ** -52: its digits follow from integers
+        whole = F.floor(x)
+        tenths = ((x - whole) * float(1 << 52)).cast("long") * 10
+        digit = F.shiftright(tenths + ((1 << 51) - 1) + F.shiftright(tenths, 52) % 2, 52)
+        text = F.concat((whole + F.when(digit == 10, 1).otherwise(0)).cast("string"), F.lit("."), (digit % 10).cast("string"), F.lit(f" {letter}B"))
+        tiers.append((n >= 1024**i, text))
     return cases(tiers, F.concat(n.cast("string"), F.lit(" B")))
 
 

@@ -36,6 +36,22 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     assert got == want
 
 
+#: Keys whose sizes lie about each unit, and far beyond the last one that the SQL has.
+LARGE_KEYS = {
+    "fn_byte_units": ("orders", "o_orderkey", [0, 18, 19, 591, 592, 18918, 18919, 605395, 605396, 605397, 9_000_000, 19_373_000, 619_925_131, 1_753_413_056]),
+}
+
+
+@pytest.mark.parametrize("name", LARGE_KEYS)
+def test_large_keys_equal_sql(spark, tmp_path, name):
+    table, key, keys = LARGE_KEYS[name]
+    spark.createDataFrame([(k,) for k in keys], f"{key} long").write.parquet(f"{tmp_path}/{table}.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = c.execute(registry.ORACLES[name]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == len(keys)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -1,6 +1,7 @@
 """The mini-language, scalar functions, and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,21 @@ def test_scalars(spark):
     assert row.k is None and row.l == "Apps/com.x/a/b" and [x.system for x in row.m] == ["darwin", "linux", "windows"] and row.n == 13 and row.o == "archive" and row.p == "ntfs_FF_7"
 
 
+def test_byte_units_as_printf(spark):
+    """One decimal of the exact quotient, ties to the even digit, at any size and with any last unit."""
+    rng = random.Random(3)
+    sizes = [0, 1023, 1024, 1280, 1792, 3328, (1 << 20) - 1, (1 << 20) - 52, (1 << 52) + 1, 9 << 59, (1 << 63) - 1, -5, None]
+    sizes += [rng.randrange(1 << rng.randrange(1, 64)) for _ in range(2000)] + [round((k + 0.65) * (1 << 30)) for k in range(1 << 22, (1 << 22) + 50)]
+    d = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", scalar.byte_units("n").alias("a"), scalar.byte_units("n", "KMG").alias("b"))
+
+    def text(n, letters):
+        i = sum(n >= 1024**k for k in range(1, len(letters) + 1))
+        return f"{float(n) / 1024**i:.1f} {letters[i - 1]}B" if i else f"{n} B"
+
+    for r in d.collect():
+        assert (r.a, r.b) == ((None, None) if r.n is None else (text(r.n, "KMGTPE"), text(r.n, "KMG"))), r
+
+
 def test_glob(spark):
     d = spark.createDataFrame([("a.txt",), ("b/a.txt",), ("c.md",)], "n string")
     ids = lambda p: sorted(r.n for r in d.filter(predicates.matches_any("n", p)).collect())
