@@ -31,16 +31,17 @@ def cases(pairs, otherwise: object = None) -> Column:
     return out.otherwise(otherwise)
 
 
-def format_size(size: Column | str) -> Column:
-    """Bytes as text with two decimals of a 1024-based unit, rounded half up from integers; negative: unknown."""
+def format_size(size: Column | str, units: tuple[str, ...] = SIZE_UNITS) -> Column:
+    """Bytes as text with two decimals of a 1024-based unit, rounded half up from integers; negative: unknown. The last of the
+    units serves all larger sizes."""
     n = c(size).cast("long")
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
     tiers = []
-    for i in range(len(SIZE_UNITS), 0, -1):
+    for i in range(len(units), 0, -1):
         unit = 1024**i
-        # hundredths of the unit, half up; sizes near the end of the type are divided first
-        hundredths = F.floor((n / F.lit(unit // 1024)) * 100 / 1024 + 0.5) if i > 3 else F.expr("0") + F.floor((n * 200 + unit) / (2 * unit))
-        hundredths = hundredths.cast("long")
-        text = F.concat(F.floor(hundredths / 100).cast("long").cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(f" {SIZE_UNITS[i - 1]}"))
+        # the rest is multiplied, not the size, which could leave the type
+        hundredths = div(n, unit) * 100 + div(n % unit * 200 + unit, 2 * unit)
+        text = F.concat(div(hundredths, 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(f" {units[i - 1]}"))
         tiers.append((n >= unit, text))
     return cases([(n < 0, F.lit("unknown")), *tiers], F.concat(n.cast("string"), F.lit(" B")))
 

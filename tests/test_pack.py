@@ -39,6 +39,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 #: Keys whose sizes lie about each unit, and far beyond the last one that the SQL has.
 LARGE_KEYS = {
     "fn_byte_units": ("orders", "o_orderkey", [0, 18, 19, 591, 592, 18918, 18919, 605395, 605396, 605397, 9_000_000, 19_373_000, 619_925_131, 1_753_413_056]),
+    "fn_format_size": ("part", "p_partkey", [0, 10, 11, 50, 101, 102, 1023, 1024, 10320, 10321, 10322, 10350, 119_999, 208_063, 208_064, 350_001, 358_600]),
 }
 
 

@@ -56,6 +56,23 @@ def test_byte_units_as_printf(spark):
         assert (r.a, r.b) == ((None, None) if r.n is None else (text(r.n, "KMGTPE"), text(r.n, "KMG"))), r
 
 
+def test_format_size_from_integers(spark):
+    """Two decimals, half up from whole numbers, at any size and with any last unit."""
+    rng = random.Random(4)
+    sizes = [0, 1023, 1024, 1152, (1 << 20) - 1, (1 << 50) - 1, (1 << 60) + 5, (1 << 63) - 1, -1, None] + [rng.randrange(1 << rng.randrange(1, 64)) for _ in range(2000)]
+    # the size of each unit that first has k hundredths and a half, and the one before it
+    sizes += [-(-(200 * k + 2 * j + 1) * 1024**i // 200) - m for i in range(1, 6) for k in (1, 7, 1023) for j in range(0, 100, 9) for m in (0, 1)]
+    d = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", scalar.format_size("n").alias("a"), scalar.format_size("n", scalar.SIZE_UNITS[:3]).alias("b"))
+
+    def text(n, units):
+        i = sum(n >= 1024**k for k in range(1, len(units) + 1))
+        h = (n * 200 + 1024**i) // (2 * 1024**i)
+        return "unknown" if n < 0 else f"{h // 100}.{h % 100:02d} {units[i - 1]}" if i else f"{n} B"
+
+    for r in d.collect():
+        assert (r.a, r.b) == ((None, None) if r.n is None else (text(r.n, scalar.SIZE_UNITS), text(r.n, scalar.SIZE_UNITS[:3]))), r
+
+
 def test_glob(spark):
     d = spark.createDataFrame([("a.txt",), ("b/a.txt",), ("c.md",)], "n string")
     ids = lambda p: sorted(r.n for r in d.filter(predicates.matches_any("n", p)).collect())
