@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,17 +146,24 @@ def fit(stats: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray
     p = np.concatenate([[0.0], m.w[slots], m.v[slots].ravel()])
     first, second = np.zeros_like(p), np.zeros_like(p)
     k, a = len(slots), len(at)
+    sums = np.empty((n, s.rank))
     decay = np.concatenate([np.full(a, s.word_l2), np.full(N_STATS, s.stat_l2)])
     for t in range(1, s.rounds + 1):
         w, v = p[1 : k + 1], p[k + 1 :].reshape(k, s.rank)
-        vx = v[local] * value[:, None]
-        sums = _sums(vx, row, n) + z @ v[a:]
-        squares = np.bincount(row, (vx * vx).sum(1), minlength=n) + (z * z) @ (v[a:] ** 2).sum(1)
+        # one factor after the other: arrays of all hashed words times the rank are the largest that the driver would hold
+        square = np.zeros(len(local))
+        for f in range(s.rank):
+            vx = v[local, f] * value
+            sums[:, f] = np.bincount(row, vx, minlength=n)
+            square += vx * vx
+        sums += z @ v[a:]
+        squares = np.bincount(row, square, minlength=n) + (z * z) @ (v[a:] ** 2).sum(1)
         out = p[0] + np.bincount(row, w[local] * value, minlength=n) + z @ w[a:] + 0.5 * ((sums * sums).sum(1) - squares)
         g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) * weight
         gx = g[row] * value
         gw = np.concatenate([np.bincount(local, gx, minlength=a), z.T @ g])
-        gv = np.concatenate([_sums(gx[:, None] * (sums[row] - vx), local, a), z.T @ (g[:, None] * sums) - ((z * z).T @ g)[:, None] * v[a:]])
+        gv = np.stack([np.bincount(local, gx * (sums[row, f] - v[local, f] * value), minlength=a) for f in range(s.rank)], 1)
+        gv = np.concatenate([gv, z.T @ (g[:, None] * sums) - ((z * z).T @ g)[:, None] * v[a:]])
         grad = np.concatenate([[g.sum()], gw + decay * w, (gv + decay[:, None] * v).ravel()])
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
@@ -186,12 +194,18 @@ def train(docs: DataFrame, labels: DataFrame, allowed, s: Settings = Settings())
     zero, one = labelled.counts(labels, "quality", allowed)
     if not zero or not one:
         return None
-    got = labelled.sample(docs, labels, "quality", allowed, s.most).mapInArrow(extract, "id string, y int, stats array<double>, at array<int>, value array<float>").toPandas()
-    if got["y"].nunique() < 2:
+    rows = labelled.sample(docs, labels, "quality", allowed, s.most).mapInArrow(extract, "id string, y int, stats array<double>, at array<int>, value array<float>")
+    # not by pandas, which would make an object of each row's list
+    got = rows.toArrow().sort_by("id").combine_chunks()
+    y = got.column("y").to_numpy().astype(float)
+    if len(np.unique(y)) < 2:
         return None
-    got = got.sort_values("id")
-    row = np.repeat(np.arange(len(got)), got["at"].map(len))
-    return fit(np.stack(list(got["stats"])), row, np.concatenate(list(got["at"])).astype(np.int64), np.concatenate(list(got["value"])).astype(float), got["y"].to_numpy(float), one / (zero + one), s)
+    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(y)), pc.list_value_length(got.column("at")).to_numpy())
+    m = fit(flat("stats").reshape(len(y), N_STATS), row, flat("at").astype(np.int64), flat("value").astype(float), y, one / (zero + one), s)
+    del got, row, flat
+    common.release()
+    return m
 
 
 def score_column(spark, m: Model | None):

@@ -269,18 +269,18 @@ def components(links: DataFrame) -> DataFrame:
     """(u, v): v is the smallest node that u reaches over links(u, v); a smallest node itself has no row."""
     now = common.settle(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = None
+    # a window instead of a join with the least: one exchange, and no table that is small enough today is gathered in the driver
+    least = F.min("v").over(Window.partitionBy("u"))
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
     while True:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == before or not mark[0]:
             return now
         before = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(small, "u")
-        now = linked.select("u", F.col("m").alias("v")).unionByName(linked.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = common.settle(now.filter("u <> v").distinct())
+        both = now.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.u", "e.v")
+        large = both.withColumn("m", F.least("u", least)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        linked = large.withColumn("m", least).select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.u", "e.v")
+        now = common.settle(linked.filter("u <> v").distinct())
 
 
 def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -445,14 +445,14 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 def _rest(rows: DataFrame, roots: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """(u, v): links between different components within the groups of rows(key, band, lead, node, n)."""
-    name = lambda c, to: roots.select(F.col("u").alias(c), F.col("v").alias(to))
+    name = lambda c, to: roots.select(F.col("u").alias(c), F.col("v").alias(to)).hint("merge")
     now = rows.join(name("node", "_a"), "node", "left").join(name("lead", "_b"), "lead", "left")
     now = now.withColumn("root", F.coalesce("_a", "node")).withColumn("major", F.col("root") == F.coalesce("_b", "lead")).select("key", "band", "node", "n", "root", "major")
     now = common.settle(now)
     # most members of an open group are in the lead's component: only the others meet all
     parts = lambda is_: F.ceil(F.greatest(F.count(F.when(is_, 1)) / s.tile, F.sum(F.when(is_, F.col("n"))) / s.tile_shingles)).cast("int")
     open_ = now.groupBy("key").agg(parts(F.col("major")).alias("majors"), parts(~F.col("major")).alias("minors")).filter("minors > 0")
-    one = now.join(open_, "key").withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    one = now.join(open_.hint("merge"), "key").withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
     cells = F.expr(
         "explode(case when major then transform(sequence(0, minors - 1), x -> named_struct('kind', 0, 'g', tile, 'h', x)) "
         "else concat(transform(sequence(0, majors - 1), x -> named_struct('kind', 0, 'g', x, 'h', tile)), "
@@ -482,8 +482,10 @@ def similar_components(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFr
     pairs = common.settle(met.unionByName(close).distinct())
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = _sets(docs, nodes.select("node", "row").join(asked.hint("merge"), "node"), s)
-    links = _verified(pairs, sets, s.similar)
-    return components(links.unionByName(_rest(rows, components(links), sets, s)))
+    roots = components(_verified(pairs, sets, s.similar))
+    rest = _rest(rows, roots, sets, s)
+    # a node and its root are linked, too: the links need not be closed a second time
+    return roots if rest.isEmpty() else components(roots.unionByName(rest))
 
 
 def similar_groups(docs: DataFrame, s: Settings = WIDE) -> DataFrame:
@@ -499,9 +501,9 @@ def similar_groups(docs: DataFrame, s: Settings = WIDE) -> DataFrame:
 
 def _named(own: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """own with root and component_id: the least id of the nodes that are linked with a row's node."""
-    known = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "least", F.coalesce("v", "node").alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(known.join(least, "root").select("node", "root", "component_id"), "node")
+    known = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node").hint("merge"), "node", "left").select("node", "least", F.coalesce("v", "node").alias("root"))
+    known = known.withColumn("component_id", F.min("least").over(Window.partitionBy("root")))
+    return own.join(known.select("node", "root", "component_id").hint("merge"), "node")
 
 
 def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

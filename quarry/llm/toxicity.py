@@ -164,6 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed, s: Settings = Settings())
     row = np.repeat(np.arange(len(got)), got["at"].map(len))
     at = np.concatenate(list(got["at"])).astype(np.int64)
     bias, weights = fit(row, at, ratios, got["y"].to_numpy(float), s)
+    del got, row, at
+    common.release()
     return Model(bias, keys, weights, flags)
 
 

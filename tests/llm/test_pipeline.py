@@ -1,10 +1,12 @@
 """The pipeline: its stages take effect, and rows reach the end."""
 
 import hashlib
+import tracemalloc
 
 import corpus_pipeline
 import duckdb
-from quarry.llm import common, licences, queries, quality, toxicity
+import numpy as np
+from quarry.llm import common, licences, queries, quality, simhash, toxicity
 
 
 def test_stages(spark, sf_dir):
@@ -33,6 +35,29 @@ def test_stages(spark, sf_dir):
     assert counts[0] > counts[1] > counts[2] >= counts[3] > 0 and counts[5] == counts[4]
 
 
+def test_components_gather_no_table_in_the_driver(spark):
+    links = spark.createDataFrame([(i, i // 3) for i in range(1, 200)] + [(i, 1000) for i in range(1001, 1100)], "u long, v long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = {r.u: r.v for r in simhash.components(links).collect()}
+    assert got == {i: 0 for i in range(1, 200)} | {i: 1000 for i in range(1001, 1100)}
+    ran = store.executionsList(int(before), int(store.executionsCount() - before))
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert len(plans) > 3 and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_quality_fit_holds_one_factor_at_a_time():
+    rng = np.random.default_rng(1)
+    n, each = 1000, 200
+    row, index, value = np.repeat(np.arange(n), each), rng.integers(0, 1 << 10, n * each), rng.random(n * each)
+    stats, y = rng.normal(size=(n, quality.N_STATS)), (rng.random(n) < 0.4).astype(float)
+    tracemalloc.start()
+    quality.fit(stats, row, index, value, y, 0.4, quality.Settings(bits=10, rounds=2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * n * each
+
+
 def test_licences_equal_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
